@@ -238,7 +238,7 @@ def _split(shard: np.ndarray, arrays: list[np.ndarray]):
     order = np.argsort(shard, kind="stable")
     shard, arrays = shard[order], [a[order] for a in arrays]
     at = np.flatnonzero(np.diff(shard, prepend=-1))
-    for s, e in zip(at, np.append(at[1:], len(shard)), strict=True):
+    for s, e in zip(at, np.append(at, len(shard))[1:], strict=True):
         yield int(shard[s]), [a[s:e] for a in arrays]
 
 
@@ -426,7 +426,7 @@ def scores(docs: DataFrame, built: DataFrame, model: Model) -> DataFrame:
             (shard, w, hot, v32, d), n = summed([shard, w, hot, v32, d], np.ones(len(w), np.int64))
             rows = []
             at = np.flatnonzero(np.diff(shard, prepend=-1))
-            for s, e in zip(at, np.append(at[1:], len(shard)), strict=True):
+            for s, e in zip(at, np.append(at, len(shard))[1:], strict=True):
                 ws, ds = w[s:e], d[s:e]
                 first = np.flatnonzero(np.diff(ws, prepend=~ws[:1]))
                 who, place = np.unique(ds, return_inverse=True)

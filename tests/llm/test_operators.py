@@ -170,11 +170,10 @@ def test_exact_dedup_grows_by_batches(spark, docs):
     assert index.rows().count() == first + second == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
     again = exact_dedup.deduplicated(docs, index)
     assert again.filter("kept").count() == first + second
-    assert "Exchange" not in index.rows().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString().split("Scan")[0].replace("AQEShuffleRead", "") or True
 
 
 def test_toxicity(spark):
-    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = by_id(toxicity.report(d, labels))
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     held = [(truth[i], r.predicted) for i, r in got.items() if r.held_out and i in truth]
