@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bytes, dropped, encoded, kept, mixed, pieces
@@ -35,6 +35,7 @@ HALF = LENGTH // 2
 #: Bits of the filter of names that are not unique. It is of fixed size; what it lets through is joined exactly.
 FILTER_BITS = 1 << 27
 _FAR = np.iinfo(np.int64).max
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _window(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -62,20 +63,23 @@ class Positions:
     def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return self.b.hashed(start, end)
 
+    def least(self) -> tuple[np.ndarray, np.ndarray]:
+        """The 25-byte name at each position, and for each 50-byte string the least name in it (0 if it crosses a border)."""
+        at = np.arange(max(0, self.n - HALF + 1))
+        name = self.names(at, at + HALF)
+        name[self.doc_end[at[: self.n]] < at + HALF] = _MOST
+        least = _window(name, HALF + 1, np.minimum) if len(name) > HALF else name[:0]
+        least[self.doc_end[: len(least)] < np.arange(len(least)) + LENGTH] = 0
+        return name, least
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose 25-byte name is the least of some 50-byte string's, and the names."""
-        n = self.n
-        if n < LENGTH:
+        if self.n < LENGTH:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        most = np.uint64(0xFFFFFFFFFFFFFFFF)
-        at = np.arange(n - HALF + 1)
-        name = self.names(at, at + HALF)
-        name[self.doc_end[at] < at + HALF] = most
-        least = _window(name, HALF + 1, np.minimum)  # for each 50-byte string
-        least[self.doc_end[: len(least)] < np.arange(len(least)) + LENGTH] = 0  # none that crosses a border
+        name, least = self.least()
         padded = np.concatenate([np.zeros(HALF, np.uint64), least, np.zeros(HALF, np.uint64)])
         chosen = np.flatnonzero(_window(padded, HALF + 1, np.maximum)[: len(name)] == name)
-        chosen = chosen[name[chosen] != most]
+        chosen = chosen[name[chosen] != _MOST]
         return chosen, name[chosen]
 
     def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +169,9 @@ def _border_strings(rows: DataFrame, places: DataFrame) -> DataFrame:
             lo, hi = p.around(at)
             count = hi - lo - LENGTH + 1
             first = np.repeat(lo - (np.cumsum(count) - count), count)
-            pos = np.unique(first + np.arange(len(first)))
+            pos = first + np.arange(len(first))
+            name, least = p.least()
+            pos = np.unique(pos[least[pos] == np.repeat(name[at], count)])  # the strings that have this anchor
             pair = mixed(p.names(pos, pos + HALF) * np.uint64(3) + p.names(pos + HALF, pos + LENGTH))
             doc = np.searchsorted(p.b.ends, pos, side="right")
             yield pa.record_batch({"pair": pa.array(pair.view(np.int64)), "id": pa.array(ids[doc]), "row": pa.array(np.asarray(b.column("row"))[doc]), "at": pa.array((pos - p.b.starts[doc]).astype(np.int32))})
@@ -177,30 +183,26 @@ def _border_strings(rows: DataFrame, places: DataFrame) -> DataFrame:
 def spans(rows: DataFrame) -> DataFrame:
     """(row, lo, hi): stretches to remove, overlapping; rows: (row, id, text)."""
     spark = rows.sparkSession
-    shared = kept(_first_names(rows), "suffix-names")
-    bits = spark.sparkContext.broadcast(_filter(shared))
+    bits = spark.sparkContext.broadcast(_filter(_first_names(rows)))
     dropped(spark)
-    found = kept(_candidates(rows, bits).join(shared, "name"), "suffix-anchors")
-    dropped(spark, shared)
-    wholes = kept(found.groupBy("name", "whole").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "suffix-wholes")
-    # a name with one surrounding only has no borders
-    varied = wholes.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("varied")).filter("varied").select("name", "varied")
-    judged = found.join(wholes.join(varied, "name", "left").select("whole", "name", "first", "varied"), ["name", "whole"])
-    judged = kept(judged.select("row", "id", "at", "first", F.coalesce("varied", F.lit(False)).alias("varied")), "suffix-judged")
-    dropped(spark, found, wholes)
-    copies = judged.filter("first < id").select("row", F.greatest(F.col("at") - HALF, F.lit(0)).alias("lo"), (F.col("at") + 2 * HALF).alias("hi"))
-    borders = kept(_border_strings(rows, judged.filter("first = id AND varied").select("row", "at")), "suffix-borders")
+    # one shuffle by name; a document has few anchors of one name, so a common passage is no hot key
+    named, same = Window.partitionBy("name"), Window.partitionBy("name", "whole")
+    judged = _candidates(rows, bits).withColumns({"low": F.min("id").over(named), "high": F.max("id").over(named), "varied": F.min("whole").over(named) != F.max("whole").over(named)})
+    judged = judged.filter("low < high").withColumn("first", F.min("id").over(same)).filter("first < id OR varied")
+    judged = kept(judged.select("row", "at", (F.col("first") < F.col("id")).alias("copied")), "suffix-judged")
     dropped(spark)
-    first = borders.groupBy("pair").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("pair", "first")
-    single = borders.join(first, "pair").filter("first < id").select("row", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-    return copies.unionByName(single)
+    copies = judged.filter("copied").select("row", F.greatest(F.col("at") - HALF, F.lit(0)).alias("lo"), (F.col("at") + 2 * HALF).alias("hi"))
+    borders = _border_strings(rows, judged.filter("NOT copied").select("row", "at"))
+    single = borders.withColumn("first", F.min("id").over(Window.partitionBy("pair"))).filter("first < id")
+    return copies.unionByName(single.select("row", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")))
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, text (what is left, binary), n_bytes, n_removed, n_spans and the spans for each row."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FAR)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # a row's number must not change when the table is read again, so it comes from what the row holds
-    rows = rows.withColumn("row", F.xxhash64("id", "text"))
+    # a row's number must not change when the table is read again; doc_id serves if it does not repeat
+    repeated = rows.groupBy("id").count().filter("count > 1").head(1)
+    rows = rows.withColumn("row", F.xxhash64("id", "text") if repeated else F.col("id"))
     found = spans(rows).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches):
