@@ -10,7 +10,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +95,7 @@ def byte_table(lower: bool) -> np.ndarray:
     return t
 
 
-@cache
+@lru_cache(8)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_MULT, -1, 1 << 64)
     out = []
@@ -124,7 +124,7 @@ class Bytes:
         self.starts = self.ends - self.sizes
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         n = len(self.data)
-        size = -(-(n + 1) >> 20) << 20
+        size = -(-(n + 1) >> 18) << 18
         power, self._inverse = _powers(size)
         self._sum = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(byte_table(lower)[self.data] * power[:n], out=self._sum[1:])
@@ -132,6 +132,11 @@ class Bytes:
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self._sum[end] - self._sum[start]) * self._inverse[start] + (end - start).astype(np.uint64))
 
+    def hashed_all(self, width: int) -> np.ndarray:
+        """Hashes of all runs of `width` bytes, whether or not they cross texts."""
+        n = max(0, len(self.data) - width + 1)
+        return mixed((self._sum[width : width + n] - self._sum[:n]) * self._inverse[:n] + np.uint64(width))
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text number of each word (a run without the bytes 0x20, 0x09-0x0D)."""
         if not len(self.data):

@@ -34,6 +34,8 @@ LENGTH = 50
 HALF = LENGTH // 2
 #: Bits of the filter of names that are not unique. It is of fixed size; what it lets through is joined exactly.
 FILTER_BITS = 1 << 27
+#: Bytes of text that are worked on at once; arrays of this length fit a core's cache.
+PIECE = 1 << 18
 _FAR = np.iinfo(np.int64).max
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -65,9 +67,8 @@ class Positions:
 
     def least(self) -> tuple[np.ndarray, np.ndarray]:
         """The 25-byte name at each position, and for each 50-byte string the least name in it (0 if it crosses a border)."""
-        at = np.arange(max(0, self.n - HALF + 1))
-        name = self.names(at, at + HALF)
-        name[self.doc_end[at[: self.n]] < at + HALF] = _MOST
+        name = self.b.hashed_all(HALF)
+        name[self.doc_end[: len(name)] < np.arange(HALF, len(name) + HALF)] = _MOST
         least = _window(name, HALF + 1, np.minimum) if len(name) > HALF else name[:0]
         least[self.doc_end[: len(least)] < np.arange(len(least)) + LENGTH] = 0
         return name, least
@@ -95,12 +96,14 @@ def _first_names(rows: DataFrame) -> DataFrame:
     """(name, low, high): anchor names that more than one document has, with the least doc_id."""
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, PIECE):
             ids, p = _of_text(b)
             at, name = p.anchors()
             owner = ids[np.searchsorted(p.b.ends, at, side="right")]
             order = np.lexsort((owner, name))
             name, owner = name[order], owner[order]
+            if not len(name):
+                continue
             new = np.flatnonzero(np.diff(name, prepend=~name[:1]))
             last = np.append(new[1:], len(name)) - 1
             yield pa.record_batch({"name": pa.array(name[new].view(np.int64)), "low": pa.array(owner[new]), "high": pa.array(owner[last])})
@@ -139,7 +142,7 @@ def _candidates(rows: DataFrame, bits) -> DataFrame:
     """(name, whole, id, row, at): anchors that pass the filter; whole names the stretch around one, at is its place."""
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, PIECE):
             ids, p = _of_text(b)
             at, name = p.anchors()
             keep = np.ones(len(at), dtype=bool)
@@ -161,7 +164,7 @@ def _border_strings(rows: DataFrame, places: DataFrame) -> DataFrame:
     """(pair, id, row, at): every 50-byte string around the given anchors, named by the pair of its halves' names."""
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, PIECE):
             ids, p = _of_text(b)
             anchors = b.column("places").to_pylist()
             at = [np.asarray(a, dtype=np.int64) + s for a, s in zip(anchors, p.b.starts, strict=True)]
