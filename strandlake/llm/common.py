@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from functools import cache, lru_cache
 
@@ -61,8 +62,10 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             if folder.split(":", 1)[-1].lstrip("/").startswith(top.split(":", 1)[-1].lstrip("/")):
                 path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # the first frees Python's references, the second what the JVM held for them
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
 
 
 def looked_up(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:

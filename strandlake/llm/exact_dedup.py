@@ -82,7 +82,8 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def unique(docs: DataFrame) -> DataFrame:
     """The documents that stay, one a text, with their own columns."""
-    return deduplicated(docs, fresh_index(docs.sparkSession)).filter("kept").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # so that no name clashes
+    return deduplicated(whole, fresh_index(docs.sparkSession)).filter("kept").select("row.*")
 
 
 SQL = """

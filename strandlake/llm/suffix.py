@@ -117,27 +117,38 @@ def _probes(name):
     return name % np.uint64(FILTER_BITS), (name >> np.uint64(32)) % np.uint64(FILTER_BITS)
 
 
-def _filter(names: DataFrame) -> np.ndarray:
-    """A filter of fixed size with the bits of all names: bitwise OR by word, at most FILTER_BITS / 64 rows."""
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A filter of fixed size with the bits of all keys: bitwise OR by word, at most FILTER_BITS / 64 rows."""
 
     def run(batches):
         bits = None
         for b in batches:
             if bits is None:
                 bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-            for x in _probes(np.asarray(b.column("name")).view(np.uint64)):
+            for x in _probes(np.asarray(b.column(0)).view(np.uint64)):
                 np.bitwise_or.at(bits, x >> np.uint64(3), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
         if bits is not None:
             words = bits.view(np.int64)
             at = np.flatnonzero(words)
             yield pa.record_batch({"at": pa.array(at), "bits": pa.array(words[at])})
 
-    found = names.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
+def _passed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(keys), dtype=bool)
+    for x in _probes(keys):
+        keep &= (bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return keep
+
+
+def _place_keys(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mixed(row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))
+
+
 def _candidates(rows: DataFrame, bits) -> DataFrame:
     """(name, whole, id, row, at): anchors that pass the filter; whole names the stretch around one, at is its place."""
 
@@ -145,9 +156,7 @@ def _candidates(rows: DataFrame, bits) -> DataFrame:
         for b in pieces(batches, PIECE):
             ids, p = _of_text(b)
             at, name = p.anchors()
-            keep = np.ones(len(at), dtype=bool)
-            for x in _probes(name):
-                keep &= (bits.value[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            keep = _passed(bits.value, name)
             at, name = at[keep], name[keep]
             lo, hi = p.around(at)
             # the anchor's place in the stretch counts: near a text's ends it is not in the middle
@@ -161,26 +170,39 @@ def _candidates(rows: DataFrame, bits) -> DataFrame:
 
 
 def _border_strings(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(pair, id, row, at): every 50-byte string around the given anchors, named by the pair of its halves' names."""
+    """(pair, id, row, at): every 50-byte string around the given anchors, named by the pair of its halves' names.
+
+    places: (row, at). They go to the tasks as a filter of fixed size, so no text is shuffled; an anchor
+    that it lets through by chance only adds strings of the texts, which are judged like the others.
+    """
+
+    def keyed(batches):
+        for b in batches:
+            yield pa.record_batch({"key": pa.array(_place_keys(np.asarray(b.column("row")), np.asarray(b.column("at"))).view(np.int64))})
+
+    bits = rows.sparkSession.sparkContext.broadcast(_filter(places.select("row", "at").mapInArrow(keyed, "key long")))
 
     def run(batches):
         for b in pieces(batches, PIECE):
             ids, p = _of_text(b)
-            anchors = b.column("places").to_pylist()
-            at = [np.asarray(a, dtype=np.int64) + s for a, s in zip(anchors, p.b.starts, strict=True)]
-            at = np.concatenate([*at, np.zeros(0, np.int64)])
+            row = np.asarray(b.column("row"))
+            at, anchor = p.anchors()
+            doc = np.searchsorted(p.b.ends, at, side="right")
+            keep = _passed(bits.value, _place_keys(row[doc], at - p.b.starts[doc]))
+            at, anchor = at[keep], anchor[keep]
             lo, hi = p.around(at)
             count = hi - lo - LENGTH + 1
             first = np.repeat(lo - (np.cumsum(count) - count), count)
             pos = first + np.arange(len(first))
-            name, least = p.least()
-            pos = np.unique(pos[least[pos] == np.repeat(name[at], count)])  # the strings that have this anchor
+            if not len(pos):
+                continue
+            least = p.least()[1]
+            pos = np.unique(pos[least[pos] == np.repeat(anchor, count)])  # the strings that have this anchor
             pair = mixed(p.names(pos, pos + HALF) * np.uint64(3) + p.names(pos + HALF, pos + LENGTH))
             doc = np.searchsorted(p.b.ends, pos, side="right")
-            yield pa.record_batch({"pair": pa.array(pair.view(np.int64)), "id": pa.array(ids[doc]), "row": pa.array(np.asarray(b.column("row"))[doc]), "at": pa.array((pos - p.b.starts[doc]).astype(np.int32))})
+            yield pa.record_batch({"pair": pa.array(pair.view(np.int64)), "id": pa.array(ids[doc]), "row": pa.array(row[doc]), "at": pa.array((pos - p.b.starts[doc]).astype(np.int32))})
 
-    lists = places.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    return rows.join(lists, "row").select("row", "id", "text", "places").mapInArrow(run, "pair long, id long, row long, at int")
+    return rows.mapInArrow(run, "pair long, id long, row long, at int")
 
 
 def spans(rows: DataFrame) -> DataFrame:
@@ -206,7 +228,8 @@ def removed(docs: DataFrame) -> DataFrame:
     # a row's number must not change when the table is read again; doc_id serves if it does not repeat
     repeated = rows.groupBy("id").count().filter("count > 1").head(1)
     rows = rows.withColumn("row", F.xxhash64("id", "text") if repeated else F.col("id"))
-    found = spans(rows).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    found = kept(spans(rows).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    dropped(rows.sparkSession)
 
     def run(batches):
         for b in batches:
