@@ -68,13 +68,13 @@ WITH t AS (
   SELECT t.*, coalesce(n_common, n_turns) AS n_common, '<|' || role || '|>' || chr(10) || text || chr(10) AS shown
   FROM t JOIN whole USING (pair_id) JOIN n USING (pair_id) LEFT JOIN d USING (pair_id)
 ), v AS (
-  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, side, k > n_common ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM u
+  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, side, k > n_common ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u
 )
 SELECT pair_id, CAST(min(n_common) AS BIGINT) AS n_common,
        coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k <= n_common), '') AS prompt,
        coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k > n_common), '') AS chosen,
        coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 1 AND k > n_common), '') AS rejected,
-       coalesce(string_agg((at + length(role) + 5)::BIGINT || '-' || (at + length(shown))::BIGINT, ',' ORDER BY k) FILTER (side = 0 AND k > n_common AND role = 'assistant'), '') AS chosen_mask,
-       coalesce(string_agg((at + length(role) + 5)::BIGINT || '-' || (at + length(shown))::BIGINT, ',' ORDER BY k) FILTER (side = 1 AND k > n_common AND role = 'assistant'), '') AS rejected_mask
+       coalesce(string_agg((before + length(role) + 5)::BIGINT || '-' || (before + length(shown))::BIGINT, ',' ORDER BY k) FILTER (side = 0 AND k > n_common AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg((before + length(role) + 5)::BIGINT || '-' || (before + length(shown))::BIGINT, ',' ORDER BY k) FILTER (side = 1 AND k > n_common AND role = 'assistant'), '') AS rejected_mask
 FROM v GROUP BY pair_id
 """
