@@ -31,7 +31,7 @@ from .common import pieces
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Words whose tokens a task remembers; at most this many, then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -110,7 +110,7 @@ class Encoder:
                     limit, x = (rank[x], 0), halves[x][1]
                 else:
                     limit, y = (rank[y], 1), halves[y][0]
-            if len(self.compatible) > 4 * REMEMBERED:
+            if len(self.compatible) > REMEMBERED:
                 self.compatible.clear()
             self.compatible[a, b] = found
         return found

@@ -11,7 +11,7 @@ import gc
 import tempfile
 import time
 import uuid
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,15 +98,18 @@ def byte_table(lower: bool) -> np.ndarray:
     return t
 
 
-@lru_cache(8)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_MULT, -1, 1 << 64)
-    out = []
-    for base in (_MULT, inverse):
-        p = np.ones(size, dtype=np.uint64)
-        p[1:] = np.uint64(base)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse; a worker keeps one table, as long as its longest batch."""
+    if len(_held[0]) < size:
+        for k, base in enumerate((_MULT, pow(_MULT, -1, 1 << 64))):
+            p = np.full(size, base, dtype=np.uint64)
+            p[0] = 1
+            np.multiply.accumulate(p, out=p)
+            _held[k] = p
+    return _held
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -161,7 +164,7 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def pieces(batches, limit: int = 4 << 20):
+def pieces(batches, limit: int = 1 << 20):
     """Arrow batches (doc_id, text) cut or joined so that each holds about limit bytes of text."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_binary())), 0), dtype=np.int64)
