@@ -52,7 +52,8 @@ def records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame
     twice = F.lit(False)
     if fmt == "gtf":
         for k in keys:
-            twice = twice | (F.size(F.filter("attributes", lambda a, k=k: a["key"] == k)) > 1)
+            found = F.transform("attributes", lambda a: a["key"])
+            twice = twice | (F.size(found) - F.size(F.array_remove(found, k)) > 1)
     else:
         names = F.transform("attributes", lambda a: a["key"])
         twice = F.size(names) != F.size(F.array_distinct(names))
