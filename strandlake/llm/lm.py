@@ -36,6 +36,9 @@ MU = 20.0
 END, BEGIN = np.uint64(0x1F0E5F2B7C3A9D41), np.uint64(0x7A2D11C8E90B6653)
 #: Distinct n-grams that a task sums up before it hands them on.
 HELD = 3_000_000
+#: Each text gets one row of sums from each shard that has a word of it, so their number is fixed; a
+#: shard's trie must fit a task. Raise it with the corpus.
+SHARDS = 48
 
 
 # ---------------------------------------------------------------------------- Elias-Fano
@@ -478,9 +481,8 @@ def held_out_rows() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def report(docs: DataFrame, shards: int | None = None) -> DataFrame:
+def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (~held_out_rows()).alias("train"))
     counts = kept(unigrams(rows), "lm-unigrams")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("w") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("texts")).first()
