@@ -35,7 +35,7 @@ def gtf_attributes(c: str) -> F.Column:
 
 def gff3_attributes(c: str) -> F.Column:
     """Fields are parted before they are decoded."""
-    fields = F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    fields = F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(fields, lambda x: F.struct(percent_decoded(F.substring_index(x, "=", 1)).alias("key"), percent_decoded(F.regexp_replace(x, r"^[^=]*=", "")).alias("value")))
 
 
