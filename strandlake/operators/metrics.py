@@ -111,3 +111,55 @@ def bootstrap_ratio(strata: list[tuple[int, int]], draws: int = 1000, seed: int
     total = sum(b for _, b in strata)
     tail = (1 - level) / 2
     return {"estimate": sum(a for a, _ in strata) / total if total else 0.0, "low": percentile(found, tail), "high": percentile(found, 1 - tail)}
+
+
+def bootstrap_discovery(hits: int, truth: int, right: int, predicted: int, draws: int = 1000, seed: int = 1, level: float = 0.95) -> dict[str, float]:
+    """Intervals of precision, recall and F1 when truths and predictions are resampled; counts come from an aggregate."""
+    rng, found = random.Random(seed), {"precision": [], "recall": [], "f1": []}
+    for _ in range(draws):
+        r = rng.binomialvariate(truth, hits / truth) / truth if truth else 0.0
+        p = rng.binomialvariate(predicted, right / predicted) / predicted if predicted else 0.0
+        for k, v in (("precision", p), ("recall", r), ("f1", 2 * p * r / (p + r) if p + r else 0.0)):
+            found[k].append(v)
+    tail = (1 - level) / 2
+    return {f"{k}_{end}": percentile(v, share) for k, v in found.items() for end, share in (("low", tail), ("high", 1 - tail))}
+
+
+def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """Exact percentiles with linear interpolation: share, value."""
+    one = df.agg(F.percentile(column, F.array(*[F.lit(s) for s in shares])).alias("v"))
+    return one.select(F.posexplode("v").alias("i", "value")).select(F.array(*[F.lit(s) for s in shares])[F.col("i")].alias("share"), "value")
+
+
+def partition_metrics(df: DataFrame, cluster: str, form: str, chain: str, row: str) -> DataFrame:
+    """Clusters against exact forms: mixed clusters, those that only merge end variants, split forms, and the matrix of rows and clusters."""
+    by_cluster = df.groupBy(cluster).agg(F.count_distinct(form).alias("f"), F.count_distinct(F.coalesce(chain, form)).alias("c"))
+    by_form = df.groupBy(form).agg(F.count_distinct(cluster).alias("k"))
+    a = by_cluster.agg(F.count(F.lit(1)).alias("clusters"), F.count_if("f > 1").alias("mixed"), F.count_if("f > 1 AND c = 1").alias("end_merges"))
+    b = by_form.agg(F.count(F.lit(1)).alias("forms"), F.count_if("k > 1").alias("split_forms"))
+    cells = df.select(row, cluster).distinct().agg(F.count(F.lit(1)).alias("cells"), F.count_distinct(row).alias("rows"))
+    out = a.join(b).join(cells)  # single rows
+    return out.withColumn("occupancy", ratio("cells", "clusters") / F.greatest("rows", F.lit(1)))
+
+
+def signature_changes(left: DataFrame, right: DataFrame, label: str, member: str) -> DataFrame:
+    """Groups of members that only one of two partitions holds, labels aside: side and how many."""
+
+    def signatures(df):
+        return df.groupBy(label).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(member)), "\n"), 256).alias("s")).select("s").distinct()
+
+    a, b = signatures(left), signatures(right)
+    one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
+    return one(a.join(b, "s", "left_anti"), "only_left").join(one(b.join(a, "s", "left_anti"), "only_right")).join(one(a.join(b, "s", "left_semi"), "both"))
+
+
+def audited(stored: DataFrame, computed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that only one of two tables holds, with repeats: side and the columns."""
+    a, b = stored.select(*keys), computed.select(*keys)
+    return a.exceptAll(b).withColumn("side", F.lit("stored")).unionByName(b.exceptAll(a).withColumn("side", F.lit("computed")))
+
+
+def perturbed(models: DataFrame) -> DataFrame:
+    """The first exon's end moved by a base, or a single exon's start."""
+    one = F.expr("IF(size(exons) = 1, array(named_struct('start', exons[0].start + 1, 'end', exons[0].end)), transform(exons, (x, i) -> named_struct('start', x.start, 'end', IF(i = 0, x.end + 1, x.end))))")
+    return models.withColumn("exons", one)

@@ -10,7 +10,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
@@ -20,6 +20,21 @@ class RegistryError(ValueError):
     """A registry that does not hold together, or input that does not fit it."""
 
 
+def numbered(df: DataFrame, bucket: list, order: list, name: str, after: int = 0) -> DataFrame:
+    """Consecutive numbers from after + 1 in the order of `bucket`, then `order`.
+
+    Rows are numbered within buckets, and the buckets' counts are summed; only these counts meet in one task.
+    """
+    keys = [f"_b{i}" for i in range(len(bucket))]
+    df = df.withColumns(dict(zip(keys, bucket, strict=True)))
+    counts = df.groupBy(*keys).count()
+    base = counts.select(*keys, (F.sum("count").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))).alias("_base"))
+    within = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    out = within.alias("w").join(base.alias("b"), same).select("w.*", "b._base")
+    return out.withColumn(name, (F.col(name) + F.coalesce("_base", F.lit(0)) + after).cast("long")).drop("_base", *keys)
+
+
 def summary(observations: DataFrame) -> DataFrame:
     n = F.countDistinct
     return observations.agg(
@@ -115,13 +130,16 @@ class Registry:
         old = self.table("import_manifest")
         if old is not None and old.filter(F.to_json(F.struct(*[F.col(k) for k in sorted(manifest)])) == json.dumps(manifest, sort_keys=True, separators=(",", ":"))).head(1):
             return False
-        forms = observations.select("form.*").unionByName(observations.filter("splice_chain IS NOT NULL").select("splice_chain.*")).distinct()
+        forms = self.new_structures(observations)
+        row = self.spark.createDataFrame([tuple(manifest[k] for k in sorted(manifest))], ", ".join(f"{k} string" for k in sorted(manifest)))
+        self.commit({"import_manifest": row, "structural_object": forms, "observation": observations.withColumns({k: F.lit(v) for k, v in manifest.items()})})
+        return True
+
+    def new_structures(self, rows: DataFrame) -> DataFrame:
+        """Forms and chains that are not stored yet; raises if a public id would name two structures."""
+        forms = rows.select("form.*").unionByName(rows.filter("splice_chain IS NOT NULL").select("splice_chain.*")).distinct()
         stored = self.table("structural_object")
         both = forms if stored is None else forms.unionByName(stored)
         if both.groupBy("public_id").agg(F.countDistinct("full_digest", "canonical_json", "family").alias("n")).filter("n > 1").head(1):
             raise RegistryError("two structures share a public id")
-        if stored is not None:
-            forms = forms.join(stored.select("public_id"), "public_id", "left_anti")
-        row = self.spark.createDataFrame([tuple(manifest[k] for k in sorted(manifest))], ", ".join(f"{k} string" for k in sorted(manifest)))
-        self.commit({"import_manifest": row, "structural_object": forms, "observation": observations.withColumns({k: F.lit(v) for k, v in manifest.items()})})
-        return True
+        return forms if stored is None else forms.join(stored.select("public_id"), "public_id", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +42,12 @@ def gff3_attributes(c: str) -> F.Column:
 
 
 def records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """One row a feature line, with a column `error` that is null for good lines."""
+    """One row a feature line, in the order of `at`, with a column `error` that is null for good lines."""
     fmt = fmt or file_format(path)
-    lines = spark.read.text(path).filter("trim(value) <> '' AND NOT startswith(value, '#')")
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")).filter("trim(value) <> '' AND NOT startswith(value, '#')")
     p = F.split(F.col("value"), "\t")
     cols = ["contig", "source", "feature", "start", "end", "score", "strand", "phase", "text"]
-    df = lines.select(F.size(p).alias("n"), *[F.try_element_at(p, F.lit(k + 1)).alias(c) for k, c in enumerate(cols)])
+    df = lines.select("at", F.size(p).alias("n"), *[F.try_element_at(p, F.lit(k + 1)).alias(c) for k, c in enumerate(cols)])
     df = df.withColumns({c: F.col(c).try_cast("bigint") for c in ("start", "end")})
     df = df.withColumn("attributes", gtf_attributes("text") if fmt == "gtf" else gff3_attributes("text"))
     keys = ["gene_id", "transcript_id"]
@@ -63,9 +65,10 @@ def records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame
 
 
 def transcripts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """transcript_id, gene_id, contig, strand and exons of each transcript; raises on what is not valid.
+    """transcript_id, gene_id, contig, strand, exons, source and attributes of each transcript; raises on what is not valid.
 
-    A transcript with more than one gene, contig or strand is an error, whatever the order of lines.
+    A transcript with more than one gene, contig or strand is an error, whatever the order of lines. Of a
+    transcript's own records the last in the file gives source and attributes; without one there are none.
     """
     fmt = fmt or file_format(path)
     rows = records(spark, path, fmt).filter(F.lower("feature").isin("exon", *TRANSCRIPTS[fmt]) | F.col("error").isNotNull())
@@ -74,34 +77,102 @@ def transcripts(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     is_exon = F.lower("feature") == "exon"
     if fmt == "gtf":
         rows = rows.withColumns({"transcript_id": last_value("attributes", "transcript_id"), "gene_id": last_value("attributes", "gene_id")})
-        genes = rows
+        genes, own = rows, rows.filter(~is_exon)
+        missing = rows.filter("coalesce(transcript_id, '') = ''")
     else:
         parents = F.filter(F.split(F.coalesce(last_value("attributes", "Parent"), F.lit("")), ","), lambda x: x != "")
         rows = rows.withColumn("parents", parents)
         exons = rows.filter(is_exon).withColumn("transcript_id", F.explode("parents")).withColumn("gene_id", last_value("attributes", "gene_id"))
         meta = rows.filter(~is_exon).withColumn("transcript_id", last_value("attributes", "ID"))
         meta = meta.withColumn("gene_id", F.when(F.size("parents") == 1, F.col("parents")[0]))
+        own = meta
+        missing = meta.filter("coalesce(transcript_id, '') = ''").select("feature").unionByName(rows.filter(is_exon & (F.size("parents") == 0)).select("feature"))
         genes = meta.unionByName(exons.join(meta.select("transcript_id"), "transcript_id", "left_anti").select(*meta.columns))
         rows = exons
+    if missing.head(1):
+        raise AnnotationError("a record names no transcript")
     exon = F.struct("start", "end", "source", "score", "phase", "attributes")
     found = rows.filter(is_exon).groupBy("transcript_id").agg(
-        F.array_sort(F.collect_list(exon)).alias("exons"), F.min("contig").alias("contig"), F.min("strand").alias("strand"), F.countDistinct("contig", "strand").alias("places")
+        F.array_sort(F.collect_list(exon)).alias("exons"), F.min("contig").alias("contig"), F.min("strand").alias("strand"), F.countDistinct("contig", "strand").alias("places"), F.min_by("source", "at").alias("exon_source")
     )
+    last = own.groupBy("transcript_id").agg(F.max_by(F.struct("contig", "strand", "source", "attributes"), "at").alias("own"))
     named = genes.groupBy("transcript_id").agg(F.max("gene_id").alias("gene_id"), F.countDistinct("gene_id").alias("genes"))
-    out = found.join(named, "transcript_id", "left")
-    error = F.when(F.col("places") > 1, "more than one contig or strand").when(F.col("genes") > 1, "more than one gene").otherwise(problems())
+    out = found.join(named, "transcript_id", "left").join(last, "transcript_id", "left")
+    error = F.when(F.col("places") > 1, "more than one contig or strand").when(F.col("genes") > 1, "more than one gene").when((F.col("own.contig") != F.col("contig")) | (F.col("own.strand") != F.col("strand")), "the transcript's record lies elsewhere").otherwise(problems())
     out = out.withColumn("error", error)
     if bad := out.filter("error IS NOT NULL").head(1):
         raise AnnotationError(f"transcript {bad[0].transcript_id}: {bad[0].error}")
-    return out.select("transcript_id", "gene_id", "contig", "strand", "exons")
+    attributes = F.coalesce("own.attributes", F.array().cast("array<struct<key:string,value:string>>"))
+    return out.select("transcript_id", "gene_id", "contig", "strand", "exons", F.coalesce("own.source", "exon_source").alias("source"), attributes.alias("attributes"))
 
 
-def contigs(spark: SparkSession, path: str) -> DataFrame:
-    """name, length and sequence_digest of a FASTA file; one row a sequence, so one sequence must fit a task."""
+def detected_format(spark: SparkSession, path: str) -> str:
+    """By the file's name, else by its version line or the attributes of its first record."""
+    try:
+        return file_format(path)
+    except AnnotationError:
+        first = spark.read.text(path).filter("startswith(value, '##gff-version') OR (trim(value) <> '' AND NOT startswith(value, '#'))").head(1)
+        if not first:
+            raise
+        value = first[0].value
+        return "gff3" if value.startswith("##gff-version") or "=" in value.split("\t")[-1].split('"')[0] else "gtf"
+
+
+def annotation_rows(models: DataFrame) -> DataFrame:
+    """What an annotation's fingerprint is taken of: canonical JSON of each transcript as `line`, with the columns that order them."""
+    spans = F.transform("exons", lambda x: F.array(x["start"], x["end"]))
+    line = F.to_json(F.struct("contig", spans.alias("exons"), "gene_id", "strand", "transcript_id"), {"ignoreNullFields": "false"})
+    return models.select("contig", spans.alias("spans"), "strand", F.coalesce("gene_id", F.lit("")).alias("gene"), "transcript_id", line.alias("line"))
+
+
+def annotation_fingerprint(models: DataFrame) -> str:
+    """SHA-256 of the sorted transcripts as one JSON list, streamed through the driver a partition at a time."""
+    rows = annotation_rows(models).orderBy("contig", "spans", "strand", "gene", "transcript_id").select("line")
+    return "sha256:" + streamed_sha256((r.line for r in rows.toLocalIterator()), "[", ",", "]")
+
+
+def streamed_sha256(parts, head: str = "", between: str = "", tail: str = "") -> str:
+    h = hashlib.sha256(head.encode())
+    for i, p in enumerate(parts):
+        h.update((between if i else "").encode() + p.encode())
+    h.update(tail.encode())
+    return h.hexdigest()
+
+
+def selected_contigs(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """name and sequence of the sequences that `wanted` names; all must exist."""
+    out = sequences(spark, path).join(wanted.select("name").distinct(), "name", "left_semi")
+    if lone := wanted.select("name").join(out, "name", "left_anti").head(1):
+        raise AnnotationError(f"no sequence {lone[0].name}")
+    return out
+
+
+def with_gene_names(models: DataFrame) -> DataFrame:
+    """A gene_name that only the exons carry, and agree on, is added to the transcript's attributes."""
+    own = F.exists("attributes", lambda a: a["key"] == "gene_name")
+    names = F.expr("array_distinct(transform(filter(flatten(transform(exons, x -> x.attributes)), a -> a.key = 'gene_name'), a -> a.value))")
+    added = F.concat("attributes", F.array(F.struct(F.lit("gene_name").alias("key"), names[0].alias("value"))))
+    return models.withColumn("attributes", F.when(~own & (F.size(names) == 1), added).otherwise(F.col("attributes")))
+
+
+def identity_view(records_: DataFrame) -> DataFrame:
+    """Exon and transcript records with only the gene and transcript id; `repeats` counts further values of the two."""
+    kept = F.filter("attributes", lambda a: a["key"].isin("gene_id", "transcript_id"))
+    out = records_.filter(F.lower("feature").isin("exon", "transcript")).withColumn("attributes", kept)
+    return out.withColumn("repeats", F.size("attributes") - F.size(F.array_distinct(F.transform("attributes", lambda a: a["key"]))))
+
+
+def sequences(spark: SparkSession, path: str) -> DataFrame:
+    """name and sequence of a FASTA file; one row a sequence, so one sequence must fit a task."""
     parts = spark.read.option("lineSep", "\n>").text(path).filter("trim(value) <> ''")
     head = F.split(F.regexp_replace("value", r"^\s*>", ""), r"\r?\n", 2)
     rows = parts.select(F.substring_index(F.regexp_replace(head[0], r"\s+", " "), " ", 1).alias("name"), F.upper(F.regexp_replace(F.coalesce(F.try_element_at(head, F.lit(2)), F.lit("")), r"\s+", "")).alias("s"))
-    rows = rows.select("name", F.length("s").cast("long").alias("length"), F.sha2("s", 256).alias("sequence_digest"))
+    return rows.withColumnRenamed("s", "sequence")
+
+
+def contigs(spark: SparkSession, path: str) -> DataFrame:
+    """name, length and sequence_digest of each sequence."""
+    rows = sequences(spark, path).select("name", F.length("sequence").cast("long").alias("length"), F.sha2("sequence", 256).alias("sequence_digest"))
     if rows.filter("name = '' OR length = 0").head(1) or rows.groupBy("name").count().filter("count > 1").head(1):
         raise AnnotationError("a sequence has no name, no bases or a name that repeats")
     return rows
