@@ -135,8 +135,8 @@ def partition_metrics(df: DataFrame, cluster: str, form: str, chain: str, row: s
     """Clusters against exact forms: mixed clusters, those that only merge end variants, split forms, and the matrix of rows and clusters."""
     by_cluster = df.groupBy(cluster).agg(F.count_distinct(form).alias("f"), F.count_distinct(F.coalesce(chain, form)).alias("c"))
     by_form = df.groupBy(form).agg(F.count_distinct(cluster).alias("k"))
-    a = by_cluster.agg(F.count(F.lit(1)).alias("clusters"), F.count_if("f > 1").alias("mixed"), F.count_if("f > 1 AND c = 1").alias("end_merges"))
-    b = by_form.agg(F.count(F.lit(1)).alias("forms"), F.count_if("k > 1").alias("split_forms"))
+    a = by_cluster.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.expr("f > 1")).alias("mixed"), F.count_if(F.expr("f > 1 AND c = 1")).alias("end_merges"))
+    b = by_form.agg(F.count(F.lit(1)).alias("forms"), F.count_if(F.expr("k > 1")).alias("split_forms"))
     cells = df.select(row, cluster).distinct().agg(F.count(F.lit(1)).alias("cells"), F.count_distinct(row).alias("rows"))
     out = a.join(b).join(cells)  # single rows
     return out.withColumn("occupancy", ratio("cells", "clusters") / F.greatest("rows", F.lit(1)))
