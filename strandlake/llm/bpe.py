@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -30,8 +31,10 @@ from .common import pieces
 #: The pattern that parts a text before merges, and the characters that stand for bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Words whose tokens a task remembers; at most this many, then it starts anew.
-REMEMBERED = 150_000
+#: Words whose tokens a worker remembers: at most this many new ones, and as many of the time before.
+REMEMBERED = 250_000
+#: Pairs of tokens whose compatibility a worker remembers; at most this many, then it starts anew.
+PAIRS = 400_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -70,16 +73,19 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.text_of = {i: t for t, i in vocabulary.tokens.items()}
+        self.sizes = {i: len(t) for i, t in self.text_of.items()}
         self.automaton = ahocorasick.Automaton()
         for token, i in vocabulary.tokens.items():
             self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
+        self.widest = max(map(len, vocabulary.tokens), default=0)
         self.pattern = regex.compile(PATTERN)
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.shorter: dict[int, int | None] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def prefix(self, token: int) -> int | None:
         """The longest token that is a proper prefix of a token."""
@@ -110,61 +116,80 @@ class Encoder:
                     limit, x = (rank[x], 0), halves[x][1]
                 else:
                     limit, y = (rank[y], 1), halves[y][0]
-            if len(self.compatible) > REMEMBERED:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
             self.compatible[a, b] = found
         return found
 
+    def longest(self, data: str, at: int) -> int | None:
+        """The longest token that starts at a position; None past the end."""
+        if at >= len(data):
+            return None
+        tokens, rest = self.v.tokens, data[at : at + self.widest]
+        n = self.automaton.longest_prefix(rest)
+        while rest[:n] not in tokens:
+            n -= 1
+        return tokens[rest[:n]]
+
     def word(self, data: str) -> list[int]:
         """Tokens of one word, given as Latin-1 text of its bytes."""
-        whole = self.v.tokens.get(data)
-        if whole is not None and len(data) == 1:
-            return [whole]
-        longest = [None] * (len(data) + 1)
-        size = [0] * (len(data) + 1)
-        for end, (n, token) in self.automaton.iter(data):
-            at = end - n + 1
-            if n > size[at]:
-                size[at], longest[at] = n, token
-        out: list[int] = []
+        out, pos, pairs = [], 0, self.compatible
+        # the longest tokens one after the other, as far as each fits the one before it
+        for _, (n, token) in self.automaton.iter_long(data):
+            if out:
+                last = out[-1]
+                fit = pairs.get((last, token))
+                if not (self.fits(last, token) if fit is None else fit):
+                    break
+            out.append(token)
+            pos += n
+        else:
+            return out
         alive = bytearray(b"\1") * (len(data) + 1)
-        pos, token = 0, longest[0]
-        text_of = self.text_of
+        sizes, shorter = self.sizes, self.shorter
         while token is not None:
             last = out[-1] if out else None
             while True:
-                end = pos + len(text_of[token])
-                if alive[end] and (last is None or self.fits(last, token)):
-                    out.append(token)
-                    pos = end
-                    token = longest[end]
-                    break
-                less = self.prefix(token)
+                end = pos + sizes[token]
+                if alive[end]:
+                    fit = last is None or pairs.get((last, token))
+                    if fit or (fit is None and self.fits(last, token)):
+                        out.append(token)
+                        pos, token = end, self.longest(data, end)
+                        break
+                less = shorter[token] if token in shorter else self.prefix(token)
                 if less is not None:
                     token = less
                     continue
                 alive[pos] = 0
                 token = out.pop()
-                pos -= len(text_of[token])
+                pos -= sizes[token]
                 break
         return out
 
+    def packed(self, word: str) -> bytes:
+        """A word's tokens as uint32, remembered if the word is short."""
+        ids = self.known.get(word) or self.earlier.get(word)
+        if ids is None:
+            ids = array("I", self.word(word.encode().decode("latin-1"))).tobytes()
+        if len(word) < 64:
+            if len(self.known) >= REMEMBERED:
+                self.earlier, self.known = self.known, {}
+            self.known[word] = ids
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
-        known, parts = self.known, []
+        parts = []
         sections = self.special.split(text) if self.special else [text]
         for k, section in enumerate(sections):
             if k % 2:
                 parts.append(np.uint32(self.v.special[section]).tobytes())
                 continue
-            for w in self.pattern.findall(section):
-                ids = known.get(w)
-                if ids is None:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    ids = np.array(self.word(w.encode().decode("latin-1")), dtype=np.uint32).tobytes()
-                    if len(w) < 64:
-                        known[w] = ids
-                parts.append(ids)
+            words = self.pattern.findall(section)
+            found = list(map(self.known.get, words))
+            if None in found:
+                found = [ids if ids is not None else self.packed(w) for w, ids in zip(words, found, strict=True)]
+            parts += found
         return np.frombuffer(b"".join(parts), dtype=np.uint32)
 
 
