@@ -223,6 +223,25 @@ def test_bpe_random_words():
             assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_bpe_forgets_and_takes_back(monkeypatch):
+    """Small memories of words and pairs change nothing; neither do words whose longest tokens do not fit, or long ones."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "PAIRS", 5)
+    t, e = Tokenizer.from_file(VOCABULARY), bpe.Encoder(bpe.Vocabulary.read(VOCABULARY))
+    t.no_truncation()
+    rng = random.Random(4)
+    parts = [x for x in e.v.tokens if x.isascii() and x.isalpha() and len(x) > 2]
+    taken_back = 0
+    for size in [5] * 200 + [400] * 5:
+        text = "".join(rng.choice(parts) for _ in range(size)) + " again again " + rng.choice(parts)
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert e.encode(text).tolist() == ids, text
+        word = e.pattern.findall(text)[0]
+        taken_back += e.word(word) != [token for _, (_, token) in e.automaton.iter_long(word)]
+        assert len(e.known) <= 3 and len(e.earlier) <= 3 and len(e.compatible) <= 5
+    assert taken_back > 50  # the second part of the encoder was met often
+
+
 def test_mixing(docs, table):
     out = mixing.mixed(docs, block=64).drop("rid").collect()
     sizes = defaultdict(int)
