@@ -32,9 +32,9 @@ from .common import pieces
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Words whose tokens a worker remembers: at most this many new ones, and as many of the time before.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 #: Pairs of tokens whose compatibility a worker remembers; at most this many, then it starts anew.
-PAIRS = 400_000
+PAIRS = 120_000
 
 
 def byte_of_char() -> dict[str, int]:
