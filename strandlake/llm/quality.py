@@ -44,7 +44,7 @@ def measured(docs: DataFrame) -> DataFrame:
     d = d.withColumns(
         {
             "plain": F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")),
-            "lines": F.expr(r"filter(split(text, '\n'), x -> trim(BOTH ' \t\n\u000b\f\r' FROM x) != '')"),
+            "lines": F.expr(r"filter(split(text, '\n'), x -> trim(BOTH ' \t\n\u000b\u000c\r' FROM x) != '')"),
         }
     )
     d = d.withColumns(
