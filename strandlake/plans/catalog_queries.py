@@ -107,10 +107,16 @@ def _forms(spark, d):
 
 @query("SELECT a.form_id AS a, b.form_id AS b FROM (SELECT DISTINCT form_id, contig, strand, tx_start, tx_end FROM tx WHERE exon_count = 1) a JOIN (SELECT DISTINCT form_id, contig, strand, tx_start, tx_end FROM tx WHERE exon_count = 1) b ON a.contig = b.contig AND a.strand = b.strand AND a.form_id < b.form_id AND abs(a.tx_start - b.tx_start) <= 400 AND abs(a.tx_end - b.tx_end) <= 400")
 def compatible_forms(spark, d):
-    """D4, over forms of one exon."""
+    """A part of D4: forms of one exon; compatible_forms_all has them all."""
     return stateful.compatible_pairs(_forms(spark, d).filter("family = 'SE1'").dropDuplicates(["form_id"]), 100, 400)
 
 
+@query()
+def compatible_forms_all(spark, d):
+    """D4, over all forms; tested against all pairs."""
+    return stateful.compatible_pairs(_forms(spark, d).dropDuplicates(["form_id"]), 100, 400)
+
+
 @query()
 def fuzzy_clusters(spark, d):
     """J2, J3; tested against an exhaustive model."""
