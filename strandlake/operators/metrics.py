@@ -53,6 +53,17 @@ def discovery(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     return out.withColumn("f1", F.when(s > 0, 2 * F.col("precision") * F.col("recall") / s).otherwise(F.lit(0.0))).drop("rows")
 
 
+def end_errors(truth: DataFrame, predicted: DataFrame, order: str) -> DataFrame:
+    """Count, median and maximum of |TSS| and |TES| differences together, to the truth of the same chain that is last in the order.
+
+    Rows without a chain (one exon) and chains without a truth do not count; without any, median and maximum are null.
+    """
+    last = truth.filter("chain_id IS NOT NULL").groupBy("chain_id").agg(F.max_by(F.struct("tss", "tes"), order).alias("_t"))
+    both = predicted.select("chain_id", "tss", "tes").join(last, "chain_id")
+    gaps = both.select(F.explode(F.array(F.abs(F.col("tss") - F.col("_t.tss")), F.abs(F.col("tes") - F.col("_t.tes")))).alias("gap"))
+    return gaps.agg(F.count("gap").alias("n"), F.median("gap").alias("median_end_error"), F.max("gap").alias("max_end_error"))
+
+
 def matrix_metrics(df: DataFrame, row: str, column: str) -> DataFrame:
     """Rows, columns, filled cells, columns that several rows share, and the share of empty cells."""
     cells = df.select(row, column).distinct()

@@ -1,4 +1,6 @@
-from strandlake.operators import stateful
+import duckdb
+
+from strandlake.operators import metrics, stateful
 from strandlake.plans import catalog_queries
 
 DATA = "/root/testdata/sf0.001"
@@ -26,3 +28,23 @@ def test_compatible_forms_all_takes_forms_of_several_exons(spark, monkeypatch):
     schema = "form_id string, family string, assembly string, contig string, strand string, coordinates array<bigint>"
     monkeypatch.setattr(catalog_queries, "_forms", lambda spark, d: spark.createDataFrame(rows, schema))
     assert catalog_queries.QUERIES["compatible_forms_all"](spark, DATA).count() == 3
+
+
+def by_sql(name):
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return con.execute(catalog_queries.SQL[name]).fetchall()
+
+
+def test_end_errors_by_hand(spark):
+    """The chain's last truth counts, both ends do, and rows of one exon or without a truth do not."""
+    schema = "chain_id string, k long, tss long, tes long"
+    truth = spark.createDataFrame([("a", 2, 100, 900), ("a", 1, 0, 0), ("b", 3, 500, 50), (None, 4, 1, 1)], schema)
+    seen = spark.createDataFrame([("a", 9, 103, 890), ("b", 9, 500, 75), ("c", 9, 0, 0), (None, 9, 7, 7)], schema)
+    assert tuple(metrics.end_errors(truth, seen, "k").first()) == (4, 6.5, 25)
+    assert tuple(metrics.end_errors(truth, seen.filter("chain_id = 'c'"), "k").first()) == (0, None, None)
+
+
+def test_chain_end_errors_by_sql(spark):
+    assert [tuple(r) for r in catalog_queries.QUERIES["chain_end_errors"](spark, DATA).collect()] == by_sql("chain_end_errors")
