@@ -148,11 +148,18 @@ def changed_relations(spark, d):
 
 @query("SELECT e AS expected, j AS joined, c AS correct, CASE WHEN j > 0 THEN 1 - c / j END AS false_merge_rate, CASE WHEN e > 0 THEN 1 - c / e END AS false_split_rate FROM (SELECT (SELECT count(*) FROM obs a JOIN obs b USING (chain_id) WHERE a.k % 2 = 0 AND b.k % 4 = 0 AND b.query_id LIKE 'q%') AS e, (SELECT count(*) FROM obs a JOIN obs b USING (form_id) WHERE a.k % 2 = 0 AND b.k % 4 = 0 AND b.query_id LIKE 'q%') AS j, (SELECT count(*) FROM obs a JOIN obs b USING (form_id, chain_id) WHERE a.k % 2 = 0 AND b.k % 4 = 0 AND b.query_id LIKE 'q%') AS c)")
 def cross_caller_pairs(spark, d):
-    """E17."""
+    """A part of E17: observations chosen by number; tool_pairs compares two tools."""
     o = t.observed(spark, d)
     return metrics.cross_pairs(o.filter("k % 2 = 0"), o.filter("k % 4 = 0 AND query_id LIKE 'q%'"), "chain_id", "form_id")
 
 
+@query("SELECT e AS expected, j AS joined, c AS correct, CASE WHEN j > 0 THEN 1 - c / j END AS false_merge_rate, CASE WHEN e > 0 THEN 1 - c / e END AS false_split_rate FROM (SELECT (SELECT count(*) FROM obs a JOIN obs b USING (chain_id) WHERE a.tool = '1-URGENT' AND b.tool = '2-HIGH') AS e, (SELECT count(*) FROM obs a JOIN obs b USING (form_id) WHERE a.tool = '1-URGENT' AND b.tool = '2-HIGH') AS j, (SELECT count(*) FROM obs a JOIN obs b USING (form_id, chain_id) WHERE a.tool = '1-URGENT' AND b.tool = '2-HIGH') AS c)")
+def tool_pairs(spark, d):
+    """All observations of one tool against all of another."""
+    o = t.observed(spark, d)
+    return metrics.cross_pairs(o.filter("tool = '1-URGENT'"), o.filter("tool = '2-HIGH'"), "chain_id", "form_id")
+
+
 @query("SELECT *, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END AS precision, CASE WHEN truth > 0 THEN hits / truth ELSE 0 END AS recall, CASE WHEN predicted > 0 THEN (SELECT count(*) FROM obs) / predicted ELSE 0 END AS redundancy, CASE WHEN hits > 0 THEN 2 * (hits / predicted) * (hits / truth) / (hits / predicted + hits / truth) ELSE 0 END AS f1 FROM (SELECT (SELECT count(DISTINCT form_id) FROM ref) AS truth, (SELECT count(DISTINCT form_id) FROM obs) AS predicted, (SELECT count(DISTINCT form_id) FROM obs WHERE form_id IN (SELECT form_id FROM ref)) AS hits)")
 def discovery(spark, d):
     """E21, D14."""
@@ -260,6 +267,13 @@ def inspect_ids(spark, d):
     return registry.inspected(_classified(spark, d), ids, ["form_id", "chain_id", "output_gene_id"], "query_id").select("query_id", "contig", "sample", "tool", "label")
 
 
+@query("SELECT query_id, contig, sample, tool, label FROM classified WHERE form_id IN (SELECT form_id FROM ref) OR chain_id IN (SELECT form_id FROM ref) OR output_gene_id IN (SELECT form_id FROM ref)")
+def inspect_reference_ids(spark, d):
+    """The inspect command for the ids of all reference forms."""
+    ids = t.reference(spark, d).select(F.col("form_id").alias("id"))
+    return registry.inspected(_classified(spark, d), ids, ["form_id", "chain_id", "output_gene_id"], "query_id").select("query_id", "contig", "sample", "tool", "label")
+
+
 @query("SELECT metric, CAST(value AS DOUBLE) AS value FROM (UNPIVOT (SELECT count(*)::DOUBLE AS observations, count(DISTINCT form_id)::DOUBLE AS forms FROM obs) ON observations, forms INTO NAME metric VALUE value)")
 def metric_rows(spark, d):
     """B14."""

@@ -48,3 +48,10 @@ def test_end_errors_by_hand(spark):
 
 def test_chain_end_errors_by_sql(spark):
     assert [tuple(r) for r in catalog_queries.QUERIES["chain_end_errors"](spark, DATA).collect()] == by_sql("chain_end_errors")
+
+
+def test_tools_and_reference_ids_by_sql(spark):
+    """All observations of two tools, and all reference forms, not those of chosen numbers."""
+    for name in ("tool_pairs", "inspect_reference_ids"):
+        got = sorted(tuple(r) for r in catalog_queries.QUERIES[name](spark, DATA).collect())
+        assert got and got == sorted(by_sql(name)), name
