@@ -2,15 +2,16 @@
 
 The byte kernel hashes runs of bytes with C[e] - C[s], where C is the running sum of
 table[byte] * A**i modulo 2**64. A is odd, so A**-s takes the position out again and equal
-runs get equal numbers. All work is whole-array work on the concatenated texts of a batch.
+runs get equal numbers. All work is whole-array work on the concatenated texts of a batch. The
+tables of powers have a fixed length, so a very long text costs memory only while it is worked on.
 """
 
 from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -54,7 +55,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables of kept() that nothing reads any more, and let Spark clean finished shuffles."""
+    """Delete tables of kept() that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = shared_dir(spark)
     for df in frames:
@@ -62,17 +63,32 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             if folder.split(":", 1)[-1].lstrip("/").startswith(top.split(":", 1)[-1].lstrip("/")):
                 path.getFileSystem(conf).delete(path, True)
-    for _ in range(2):  # the first frees Python's references, the second what the JVM held for them
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.5)
 
 
-def looked_up(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def released(spark: SparkSession) -> None:
+    """Between large phases: without references to finished shuffles Spark deletes their files from the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Actions within send Arrow batches of about this size to Python; rows of tens of KB make large ones else."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, after=lambda df: df) -> DataFrame:
     """left with the columns of right, which has one row a key. weight: the key's rows in left; total: all rows.
 
     Hot keys (fewer than HOT of them, whatever the data) go by broadcast; the rest by a shuffled
-    join, in which no key has over total / HOT rows. Rows of left without a match are dropped.
+    join, in which no key has over total / HOT rows. Rows of left without a match are dropped. after is
+    applied to both parts before they are put together; no key is in both.
     """
     hot = F.col(weight) * HOT > total
     few = F.broadcast(right.filter(hot).withColumn("_hot", F.lit(True)))
@@ -80,7 +96,7 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, weight: str, total: i
     tagged = left.join(few.select(key, "_hot", *[F.col(c).alias(f"_{c}") for c in names]), key, "left")
     done = tagged.filter(F.col("_hot")).select(*left.columns, *[F.col(f"_{c}").alias(c) for c in names])
     rest = tagged.filter(F.col("_hot").isNull()).select(*left.columns).join(right.filter(~hot), key)
-    return done.select(*left.columns, *names).unionByName(rest.select(*left.columns, *names))
+    return after(done.select(*left.columns, *names)).unionByName(after(rest.select(*left.columns, *names)))
 
 
 # ---------------------------------------------------------------------------- bytes
@@ -98,18 +114,19 @@ def byte_table(lower: bool) -> np.ndarray:
     return t
 
 
-_held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that one table of powers covers; later stretches of a long batch use it again.
+STRETCH = 1 << 20
 
 
-def _powers(size: int) -> list[np.ndarray]:
-    """Powers of the multiplier and of its inverse; a worker keeps one table, as long as its longest batch."""
-    if len(_held[0]) < size:
-        for k, base in enumerate((_MULT, pow(_MULT, -1, 1 << 64))):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _held[k] = p
-    return _held
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, of fixed length."""
+    out = []
+    for base in (_MULT, pow(_MULT, -1, 1 << 64)):
+        p = np.full(STRETCH, base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p, out=p))
+    return out[0], out[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -129,19 +146,34 @@ class Bytes:
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        n = len(self.data)
-        size = -(-(n + 1) >> 18) << 18
-        power, self._inverse = _powers(size)
-        self._sum = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(byte_table(lower)[self.data] * power[:n], out=self._sum[1:])
+        n, power = len(self.data), _powers()[0]
+        self._far = np.array([pow(_MULT, -STRETCH * k, 1 << 64) for k in range(n // STRETCH + 1)], dtype=np.uint64)
+        self._sum, table = np.zeros(n + 1, dtype=np.uint64), byte_table(lower)
+        for k, s in enumerate(range(0, n, STRETCH)):
+            part = table[self.data[s : s + STRETCH]]
+            part *= power[: len(part)]
+            if k:
+                part *= np.uint64(pow(_MULT, STRETCH * k, 1 << 64))
+                part[:1] += self._sum[s : s + 1]
+            np.cumsum(part, out=self._sum[s + 1 : s + 1 + len(part)])
+
+    def _back(self, at: np.ndarray) -> np.ndarray:
+        """What takes the position out of a difference of sums."""
+        near = _powers()[1]
+        return near[at] if len(self.data) < STRETCH else near[at % STRETCH] * self._far[at // STRETCH]
 
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self._sum[end] - self._sum[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+        return mixed((self._sum[end] - self._sum[start]) * self._back(start) + (end - start).astype(np.uint64))
 
     def hashed_all(self, width: int) -> np.ndarray:
         """Hashes of all runs of `width` bytes, whether or not they cross texts."""
         n = max(0, len(self.data) - width + 1)
-        return mixed((self._sum[width : width + n] - self._sum[:n]) * self._inverse[:n] + np.uint64(width))
+        out, near = self._sum[width : width + n] - self._sum[:n], _powers()[1]
+        for k, s in enumerate(range(0, n, STRETCH)):
+            out[s : s + STRETCH] *= near[: len(out[s : s + STRETCH])]
+            if k:
+                out[s : s + STRETCH] *= self._far[k]
+        return mixed(out + np.uint64(width))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text number of each word (a run without the bytes 0x20, 0x09-0x0D)."""

@@ -13,80 +13,115 @@ successor search within its word's range. The levels lie in one file that the ta
 Words with over 1 / HOT of all training tokens (so fewer than HOT of them) are dealt to shards by
 pair instead, and their own counts go to all tasks; so do the pairs that are as frequent.
 
-Words are 64-bit hashes (predecessors 32 bits of one), so that no dictionary grows on any machine.
+Words are 64-bit hashes and predecessors 40 bits of one, so that no dictionary grows on any machine.
 
-Defined results: a null or empty text is its end token alone; documents that share a doc_id
-(repeated rows) are one document, with sums; a null doc_id trains and is no held-out document;
-without training documents all counts are 0; extra columns are ignored; an empty table gives no rows.
+Defined results: a null or empty text is its end token alone; each row is a document, also where a
+doc_id repeats; a null doc_id trains and is no held-out document; without training documents all
+counts are 0; extra columns are ignored; an empty table gives no rows. A text is handled in one task with
+about 60 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
 
+import os
 import struct
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, Bytes, dropped, encoded, kept, mixed, pieces
+from .common import HOT, Bytes, dropped, encoded, kept, mixed, pieces, released, small_batches
 
 MU = 20.0
 END, BEGIN = np.uint64(0x1F0E5F2B7C3A9D41), np.uint64(0x7A2D11C8E90B6653)
+#: Bits of a predecessor's hash that the tries keep.
+BEFORE = np.uint64(40)
 #: Distinct n-grams that a task sums up before it hands them on.
-HELD = 3_000_000
-#: Each text gets one row of sums from each shard that has a word of it, so their number is fixed; a
-#: shard's trie must fit a task. Raise it with the corpus.
-SHARDS = 48
+HELD = 400_000
+#: A model has this many shards at least, and so many that a shard has this many training tokens at most on average.
+SHARDS, PER_SHARD = 48, 16_000_000
 
 
 # ---------------------------------------------------------------------------- Elias-Fano
+def _in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the one of a given rank in each 64-bit word, by halving."""
+    at = np.zeros(len(words), dtype=np.int64)
+    for half in (32, 16, 8, 4, 2, 1):
+        low = words & np.uint64((1 << half) - 1)
+        count = np.bitwise_count(low).astype(np.int64)
+        up = rank >= count
+        rank = rank - np.where(up, count, 0)
+        words = np.where(up, words >> np.uint64(half), low)
+        at += half * up
+    return at
+
+
 class EliasFano:
-    """A rising sequence of numbers: low bits as they are, high bits as gaps in unary."""
+    """A rising sequence of numbers: low bytes as they are, high parts as gaps in unary.
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, width: int):
-        self.high, self.low, self.width = high, low, width
+    The sequence stays packed. Beside it stands how many ones there are before each 64-bit word of the
+    unary part, from which ones and zeros are found by rank.
+    """
+
+    def __init__(self, n: int, width: int, unary: np.ndarray, low: np.ndarray):
+        self.n, self.width, self.unary, self.low = n, np.uint64(width), unary, low
+        self.mask = np.uint64((1 << width) - 1)
+        ends = np.cumsum(np.bitwise_count(unary), dtype=np.int64)
+        self.ones = (ends - np.bitwise_count(unary)).astype(np.uint32)
+        self.zeros = (64 * np.arange(len(unary)) - self.ones).astype(np.uint32)
+        self.n_zeros = 64 * len(unary) - n
 
     @staticmethod
     def packed(values: np.ndarray, universe_bits: int) -> bytes:
         n = len(values)
-        width = min(48, max(0, -(-(universe_bits - max(n, 1).bit_length() + 1) // 16) * 16))
-        high = (values >> np.uint64(width)).astype(np.int64)
-        ones = high + np.arange(n)
-        bits = np.zeros((int(ones[-1]) + 8 if n else 8) // 8 * 8, dtype=np.uint8)
+        width = min(56, max(0, -(-(universe_bits - max(n, 1).bit_length() + 1) // 8) * 8))
+        ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
+        bits = np.zeros((int(ones[-1]) + 64 if n else 64) // 64 * 64, dtype=np.uint8)
         bits[ones] = 1
-        low = np.empty((n, width // 16), dtype=np.uint16)
-        for k in range(width // 16):
-            low[:, k] = (values >> np.uint64(16 * k)).astype(np.uint16)
-        unary = np.packbits(bits)
-        return struct.pack("<qqq", n, width, len(unary)) + low.tobytes() + unary.tobytes()
+        low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, : width // 8]
+        unary = np.packbits(bits, bitorder="little").tobytes()
+        low = low.tobytes() + bytes(8)
+        return struct.pack("<qqq", n, width, len(unary) // 8) + unary + low + b"\0" * (-len(low) % 8)
 
     @classmethod
     def opened(cls, data: np.ndarray, at: int) -> tuple[EliasFano, int]:
         n, width, size = struct.unpack("<qqq", data[at : at + 24].tobytes())
         at += 24
-        low = data[at : at + n * width // 8].view(np.uint16).reshape(n, width // 16)
-        at += n * width // 8
-        ones = np.flatnonzero(np.unpackbits(data[at : at + size]))
-        return cls((ones - np.arange(len(ones))).astype(np.uint32), low, width), at + size
+        unary = data[at : at + 8 * size].view(np.uint64)
+        at += 8 * size
+        size = n * (width // 8) + 8
+        # numbers of width bits, each read as the 8 bytes from its first on
+        low = np.ndarray((n,), "<u8", data[at : at + size], 0, (width // 8,))
+        return cls(n, width, unary, low), at + size + -size % 8
 
     def __len__(self) -> int:
-        return len(self.high)
+        return self.n
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        out = self.high[i].astype(np.uint64) << np.uint64(self.width)
-        for k in range(self.width // 16):
-            out |= self.low[i, k].astype(np.uint64) << np.uint64(16 * k)
+        i = i.astype(np.int64)
+        word = np.searchsorted(self.ones, i.astype(np.uint32), side="right") - 1
+        place = 64 * word + _in_word(self.unary[word], i - self.ones[word])
+        return ((place - i).astype(np.uint64) << self.width) | (self.low[i] & self.mask)
+
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many numbers have a high part under the given one."""
+        out = np.where(high > 0, self.n, 0)
+        todo = np.flatnonzero((high > 0) & (high <= self.n_zeros))
+        rank = high[todo].astype(np.int64) - 1
+        word = np.searchsorted(self.zeros, rank.astype(np.uint32), side="right") - 1
+        out[todo] = 64 * word + _in_word(~self.unary[word], rank - self.zeros[word]) - rank
         return out
 
     def successor(self, first: np.ndarray, last: np.ndarray, x: np.ndarray) -> np.ndarray:
         """For each query the first place in [first, last) whose value is at least x, else last."""
-        lo, hi = first.astype(np.int64), last.astype(np.int64)
+        high, low = x >> self.width, x & self.mask
+        lo = np.clip(self._below(high), first.astype(np.int64), last.astype(np.int64))
+        hi = np.clip(self._below(high + np.uint64(1)), lo, last.astype(np.int64))
         todo = np.flatnonzero(lo < hi)
         while len(todo):
             mid = (lo[todo] + hi[todo]) >> 1
-            less = self.at(mid) < x[todo]
+            less = (self.low[mid] & self.mask) < low[todo]
             lo[todo] = np.where(less, mid + 1, lo[todo])
             hi[todo] = np.where(less, hi[todo], mid)
             todo = todo[lo[todo] < hi[todo]]
@@ -104,11 +139,11 @@ class Trie:
 
     @staticmethod
     def built(words: np.ndarray, counts: np.ndarray, pairs_of: np.ndarray, before: np.ndarray, gains: np.ndarray, logs: np.ndarray, contexts: np.ndarray) -> bytes:
-        """words: rising; pairs_of: for each pair the place of its word, rising; before: the predecessor's 32 bits, rising within a word."""
+        """words: rising; pairs_of: for each pair the place of its word, rising; before: the predecessor's 40 bits, rising within a word."""
         starts = np.searchsorted(pairs_of, np.arange(len(words) + 1)).astype(np.uint64)
         parts = [EliasFano.packed(words, 64), EliasFano.packed(starts, int(starts[-1]).bit_length() if len(starts) else 1)]
-        keys = (pairs_of.astype(np.uint64) << np.uint64(32)) | before.astype(np.uint64)
-        parts.append(EliasFano.packed(keys, 32 + len(words).bit_length()))
+        keys = (pairs_of.astype(np.uint64) << BEFORE) | before.astype(np.uint64)
+        parts.append(EliasFano.packed(keys, int(BEFORE) + len(words).bit_length()))
         for x in (logs, contexts, gains):
             low, step, code = quantised(x)
             parts.append(struct.pack("<qdd", len(code), low, step) + code.tobytes())
@@ -118,7 +153,7 @@ class Trie:
     @classmethod
     def opened(cls, data: bytes) -> Trie:
         out, at, up = cls(), 0, lambda n: n + -n % 8
-        with tempfile.TemporaryFile() as f:  # goes with the mapping
+        with os.fdopen(os.memfd_create("trie"), "w+b") as f:  # a file in memory, which goes with the mapping
             f.write(data)
             f.flush()
             mapped = np.memmap(f, dtype=np.uint8, mode="r")
@@ -143,7 +178,7 @@ class Trie:
         n = len(self.words)
         if not n:
             return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        i = self.words.successor(np.zeros(len(words)), np.full(len(words), n), words)
+        i = self.words.successor(np.zeros(len(words), np.int64), np.full(len(words), n), words)
         i, inside = np.minimum(i, n - 1), i < n
         return i, inside & (self.words.at(i) == words)
 
@@ -152,7 +187,7 @@ class Trie:
         if not len(self.keys):
             return np.zeros(len(place), np.int64), np.zeros(len(place), bool)
         first, last = self.starts.at(place), self.starts.at(place + 1)
-        x = (place.astype(np.uint64) << np.uint64(32)) | before.astype(np.uint64)
+        x = (place.astype(np.uint64) << BEFORE) | before.astype(np.uint64)
         i = self.keys.successor(first, last, x)
         there = i < last.astype(np.int64)
         i = np.minimum(i, len(self.keys) - 1)
@@ -196,19 +231,42 @@ def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.
     return [k[at] for k in keys], np.add.reduceat(n, at)
 
 
+_KINDS = (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.float64)
+
+
+def _least(a: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the smallest kind that holds them."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(next(k for k in _KINDS[:4] if top <= np.iinfo(k).max))
+
+
 def _bytes(*arrays: np.ndarray) -> bytes:
-    return struct.pack(f"<q{len(arrays)}q", len(arrays), *map(len, arrays)) + b"".join(a.tobytes() for a in arrays)
+    head = [x for a in arrays for x in (_KINDS.index(a.dtype.type), len(a))]
+    return struct.pack(f"<{1 + len(head)}I", len(arrays), *head) + b"".join(a.tobytes() for a in arrays)
 
 
-def _arrays(blob: bytes, *kinds) -> list[np.ndarray]:
-    count = struct.unpack_from("<q", blob)[0]
-    sizes, at, out = struct.unpack_from(f"<{count}q", blob, 8), 8 + 8 * count, []
-    for size, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(blob, kind, size, at))
+def _arrays(blob: bytes) -> list[np.ndarray]:
+    count = struct.unpack_from("<I", blob)[0]
+    head, at, out = struct.unpack_from(f"<{2 * count}I", blob, 4), 4 + 8 * count, []
+    for kind, size in zip(head[::2], head[1::2], strict=True):
+        out.append(np.frombuffer(blob, _KINDS[kind], size, at))
         at += out[-1].nbytes
     return out
 
 
+def _shortened(v: np.ndarray) -> np.ndarray:
+    return v >> (np.uint64(64) - BEFORE)
+
+
+def _halved(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of 40 bits in 5 bytes."""
+    return (v >> np.uint64(8)).astype(np.uint32), v.astype(np.uint8)
+
+
+def _whole(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(8)) | low
+
+
 class Model:
     """The numbers that every task needs; of fixed size."""
 
@@ -246,26 +304,28 @@ def _split(shard: np.ndarray, arrays: list[np.ndarray]):
 
 
 class Sums:
-    """Counts of n-grams within a task, summed up when they get many."""
+    """Counts of n-grams within a task, summed up whenever their number has doubled."""
 
     def __init__(self):
-        self.rows, self.size = [], 0
+        self.rows, self.size, self.limit = [], 0, 2 * HELD
 
     def add(self, keys: list[np.ndarray], n: np.ndarray):
         self.rows.append((keys, n))
         self.size += len(n)
-        if self.size > 2 * HELD:
+        if self.size > self.limit:
             self.squeeze()
+            self.limit = 2 * max(HELD, self.size)
 
     def squeeze(self):
         if len(self.rows) > 1:
             keys = [np.concatenate(k) for k in zip(*(r[0] for r in self.rows), strict=True)]
-            self.rows = [summed(keys, np.concatenate([r[1] for r in self.rows]))]
+            counts, self.rows = np.concatenate([r[1] for r in self.rows]), []
+            self.rows = [summed(keys, counts)]
             self.size = len(self.rows[0][1])
 
     def take(self) -> tuple[list[np.ndarray], np.ndarray] | None:
         self.squeeze()
-        out, self.rows, self.size = (self.rows[0] if self.rows else None), [], 0
+        out, self.rows, self.size, self.limit = (self.rows[0] if self.rows else None), [], 0, 2 * HELD
         return out
 
 
@@ -338,11 +398,10 @@ def tries(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             if found is None:
                 return
             (w, v), n = found
-            n = n.astype(np.uint32)
             rows = []
             for s, (ws, vs, ns) in _split(m.shard(w, v, m.hot_count(w)[1]), [w, v, n]):
                 at = np.flatnonzero(np.diff(ws, prepend=~ws[:1]))
-                rows.append((s, 1, _bytes(ws[at], np.diff(np.append(at, len(ws))).astype(np.uint32), (vs >> np.uint64(32)).astype(np.uint32), ns)))
+                rows.append((s, 1, _bytes(ws[at], _least(np.diff(np.append(at, len(ws)))), *_halved(_shortened(vs)), _least(ns))))
             yield _rows(rows)
 
         for b in _texts(batches, True):
@@ -371,7 +430,7 @@ def tries(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             c = counts[place] if len(w) else np.zeros(0, np.int64)
             trie = Trie.built(words, counts, place, v, m.gain(n, c), m.log_p(counts), np.log10(counts + MU))
             often = n * float(HOT) > m.n
-            return at, trie, _bytes(w[often], v[often].astype(np.uint64), m.gain(n, c)[often])
+            return at, trie, _bytes(w[often], v[often], m.gain(n, c)[often])
 
         def row(x):
             return pa.record_batch({"shard": pa.array([x[0]], pa.int32()), "trie": pa.array([x[1]], pa.binary()), "hot": pa.array([x[2]], pa.binary())})
@@ -382,12 +441,12 @@ def tries(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                     yield row(done())
                 at, held, ws, cs = shard, Sums(), [], []
             if kind == 0:
-                w, c = _arrays(blob, np.uint64, np.int64)
+                w, c = _arrays(blob)
                 ws.append(w)
                 cs.append(c)
             else:
-                w, runs, v, n = _arrays(blob, np.uint64, np.uint32, np.uint32, np.uint32)
-                held.add([np.repeat(w, runs), v], n.astype(np.int64))
+                w, runs, high, low, n = _arrays(blob)
+                held.add([np.repeat(w, runs), _whole(high, low)], n.astype(np.int64))
         if at is not None:
             yield row(done())
 
@@ -395,27 +454,27 @@ def tries(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     return _streams(both, model.shards).mapInArrow(build, "shard int, trie binary, hot binary")
 
 
-SUMS = "doc_id long, n_tokens long, n_known long, base double, score double"
+SUMS = "rid long, doc_id long, n_tokens long, n_known long, base double, score double"
 
 
 def scores(docs: DataFrame, built: DataFrame, model: Model) -> DataFrame:
-    """n_tokens, n_known, and sums of log10(c + 1) and of the model's log10, for each doc_id."""
+    """doc_id, n_tokens, n_known, and sums of log10(c + 1) and of the model's log10, for each row number rid."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def ask(batches):
         m = shared.value
         for b in _texts(batches, False):
-            ids = np.asarray(b.column("doc_id").fill_null(np.iinfo(np.int64).min))
+            rid, ids = np.asarray(b.column("rid")), b.column("doc_id")
             w, v, d = tokens(encoded(b.column("text")))
-            n_docs = len(ids)
+            n_docs = len(rid)
             n_tokens = np.bincount(d, minlength=n_docs)
             c, hot = m.hot_count(w)
             # what each token gives as a context, if its word is hot; the text's begin is a context too
             own = np.where(w != END, m.log_p(c) - np.log10(c + MU), m.log_p(c)) + np.log10(MU)
-            sums = lambda x, at, d=d, n=n_docs: np.bincount(d[at], weights=x[at], minlength=n)
+            sums = lambda x, at, d=d, n=n_docs: np.bincount(d[at], weights=x[at], minlength=n).astype(np.float64)
             score = sums(own, hot) - np.log10(m.texts + MU)
             base, known = sums(np.log10(c + 1.0), hot), np.bincount(d[hot & (c > 0)], minlength=n_docs)
-            key = pair_key(w, v >> np.uint64(32))
+            key = pair_key(w, _shortened(v))
             if len(m.pair_keys):
                 i = np.minimum(np.searchsorted(m.pair_keys, key), len(m.pair_keys) - 1)
                 often = m.pair_keys[i] == key
@@ -423,18 +482,19 @@ def scores(docs: DataFrame, built: DataFrame, model: Model) -> DataFrame:
             else:
                 often = np.zeros(len(w), dtype=bool)
             ask = ~often  # such pairs end in hot words; all that they add is known here
-            w, v, d, hot = w[ask], v[ask], d[ask], hot[ask]
-            v32 = (v >> np.uint64(32)).astype(np.uint32)
-            shard = m.shard(w, v, hot)
-            (shard, w, hot, v32, d), n = summed([shard, w, hot, v32, d], np.ones(len(w), np.int64))
+            w, v, d = w[ask], v[ask], d[ask]
+            shard = m.shard(w, v, hot[ask])
+            (shard, w, v, d), n = summed([shard, w, _shortened(v), d], np.ones(len(w), np.int64))
             rows = []
             at = np.flatnonzero(np.diff(shard, prepend=-1))
             for s, e in zip(at, np.append(at, len(shard))[1:], strict=True):
-                ws, ds = w[s:e], d[s:e]
+                ws = w[s:e]
                 first = np.flatnonzero(np.diff(ws, prepend=~ws[:1]))
-                who, place = np.unique(ds, return_inverse=True)
-                rows.append((int(shard[s]), 1, _bytes(ws[first], np.diff(np.append(first, len(ws))).astype(np.uint32), hot[s:e], v32[s:e], place.astype(np.uint32), n[s:e].astype(np.uint32), ids[who])))
-            rows.append((int(ids[0]) % m.shards, 2, _bytes(ids, n_tokens.astype(np.int64), known.astype(np.int64), base, score)))
+                who, place = np.unique(d[s:e], return_inverse=True)
+                of = _least(rid[who] - rid[0]) if rid[-1] - rid[0] == n_docs - 1 else rid[who] - rid[0]
+                rows.append((int(shard[s]), 1, _bytes(ws[first], _least(np.diff(np.append(first, len(ws)))), *_halved(v[s:e]), _least(place), _least(n[s:e]), rid[:1], of)))
+            none = np.asarray(ids.is_null()).astype(np.uint8)
+            rows.append((int(rid[0]) % m.shards, 2, _bytes(rid, np.asarray(ids.fill_null(0)), none, _least(n_tokens), _least(known), base, score)))
             yield _rows(rows)
 
     def answer(batches):
@@ -445,13 +505,16 @@ def scores(docs: DataFrame, built: DataFrame, model: Model) -> DataFrame:
                 at, trie = shard, Trie.opened(blob)
                 continue
             if kind == 2:
-                ids, n_tokens, known, base, score = _arrays(blob, np.int64, np.int64, np.int64, np.float64, np.float64)
-                yield pa.record_batch({"doc_id": pa.array(ids), "n_tokens": pa.array(n_tokens), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(score)})
+                rid, ids, none, n_tokens, known, base, score = _arrays(blob)
+                long = lambda x: pa.array(x.astype(np.int64))
+                yield pa.record_batch({"rid": pa.array(rid), "doc_id": pa.array(ids, mask=none == 1), "n_tokens": long(n_tokens), "n_known": long(known), "base": pa.array(base), "score": pa.array(score)})
                 continue
             if at != shard:
-                at, trie = shard, Trie.opened(Trie.built(*[np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint32, float, float, float)]))
-            ws, runs, hot, before, d, n, ids = _arrays(blob, np.uint64, np.uint32, np.bool_, np.uint32, np.uint32, np.uint32, np.int64)
+                at, trie = shard, Trie.opened(Trie.built(*[np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint64, float, float, float)]))
+            ws, runs, high, low, d, n, first, of = _arrays(blob)
+            rid = first + of.astype(np.int64)
             place, there = trie.find(ws)
+            hot = m.hot_count(ws)[1]
             c = np.where(there, trie.counts[place].astype(np.float64) if len(trie.counts) else 0.0, 0.0)
             if len(trie.counts):
                 log_p = np.where(there, trie.value("logs", place), m.log_p(np.zeros(1))[0])
@@ -459,44 +522,52 @@ def scores(docs: DataFrame, built: DataFrame, model: Model) -> DataFrame:
             else:
                 log_p, context = np.full(len(ws), m.log_p(np.zeros(1))[0]), np.full(len(ws), np.log10(MU))
             each = lambda x: np.repeat(x, runs)
-            cold = ~hot
-            own = each(log_p + np.log10(MU) - np.where(ws != END, context, 0.0))
-            score = np.where(cold, own, 0.0)
+            cold = each(~hot)
+            score = np.where(cold, each(log_p + np.log10(MU) - np.where(ws != END, context, 0.0)), 0.0)
             which = each(there)
             if which.any():
-                i, found = trie.find_pairs(each(place)[which], before[which])
+                i, found = trie.find_pairs(each(place)[which], _whole(high, low)[which])
                 score[which] += np.where(found, trie.value("gains", i), 0.0)
-            weights = lambda x: np.bincount(d, weights=x * n, minlength=len(ids))
-            zero = np.zeros(len(ids), np.int64)
+            weights = lambda x: np.bincount(d, weights=x * n, minlength=len(rid)).astype(np.float64)
+            zero = np.zeros(len(rid), np.int64)
             known = weights((each(c > 0) & cold).astype(np.float64)).astype(np.int64)
-            yield pa.record_batch({"doc_id": pa.array(ids), "n_tokens": pa.array(zero), "n_known": pa.array(known), "base": pa.array(weights(np.where(cold, each(np.log10(c + 1.0)), 0.0))), "score": pa.array(weights(score))})
+            base = weights(np.where(cold, each(np.log10(c + 1.0)), 0.0))
+            yield pa.record_batch({"rid": pa.array(rid), "doc_id": pa.nulls(len(rid), pa.int64()), "n_tokens": pa.array(zero), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(weights(score))})
 
     model_rows = built.select("shard", F.lit(0).alias("kind"), F.col("trie").alias("blob"))
     both = docs.mapInArrow(ask, BLOB).unionByName(model_rows)
     parts = _streams(both, model.shards).mapInArrow(answer, SUMS)
-    return parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    return parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
 
 
 def held_out_rows() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def report(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        return _report(docs, shards)
+
+
+def _report(docs: DataFrame, shards: int | None) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (~held_out_rows()).alias("train"))
-    counts = kept(unigrams(rows), "lm-unigrams")
+    texts = rows.select("text", "train")
+    counts = kept(unigrams(texts), "lm-unigrams")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("w") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("texts")).first()
     hot = counts.filter(F.col("c") * HOT > total["n"]).collect()  # fewer than HOT
-    model = Model(shards, total["n"], total["v"], total["texts"], [(r["w"], r["c"]) for r in hot])
-    built = kept(tries(rows, counts, model), "lm-tries")
-    found = [_arrays(r["hot"], np.uint64, np.uint64, np.float64) for r in built.select("hot").toLocalIterator()]  # fewer than HOT pairs in all
+    model = Model(shards or max(SHARDS, -(-total["n"] // PER_SHARD)), total["n"], total["v"], total["texts"], [(r["w"], r["c"]) for r in hot])
+    built = kept(tries(texts, counts, model), "lm-tries")
+    found = [_arrays(r["hot"]) for r in built.select("hot").toLocalIterator()]  # fewer than HOT pairs in all
     if found:
         w, v, gain = (np.concatenate(x) for x in zip(*found, strict=True))
         key = pair_key(w, v)
         order = np.argsort(key)
         model.pair_keys, model.pair_gains = key[order], gain[order]
     dropped(spark, counts)
-    sums = scores(rows, built, model)
-    doc_id = F.when(F.col("doc_id") != np.iinfo(np.int64).min, F.col("doc_id")).alias("doc_id")
-    out = sums.select(doc_id, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.v + 1)))).alias("base_score"), "score")
+    released(spark)
+    # rows are numbered in the one pass that asks; the answers come back under the numbers
+    sums = kept(scores(rows.withColumn("rid", F.monotonically_increasing_id()), built, model), "lm-scores")
+    dropped(spark, built)
+    out = sums.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.v + 1)))).alias("base_score"), "score")
     return out.select("doc_id", held_out_rows().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bytes, dropped, encoded, kept, mixed, pieces
+from .common import Bytes, encoded, kept, mixed, pieces, released
 
 LENGTH = 50
 HALF = LENGTH // 2
@@ -209,13 +209,13 @@ def spans(rows: DataFrame) -> DataFrame:
     """(row, lo, hi): stretches to remove, overlapping; rows: (row, id, text)."""
     spark = rows.sparkSession
     bits = spark.sparkContext.broadcast(_filter(_first_names(rows)))
-    dropped(spark)
+    released(spark)
     # one shuffle by name; a document has few anchors of one name, so a common passage is no hot key
     named, same = Window.partitionBy("name"), Window.partitionBy("name", "whole")
     judged = _candidates(rows, bits).withColumns({"low": F.min("id").over(named), "high": F.max("id").over(named), "varied": F.min("whole").over(named) != F.max("whole").over(named)})
     judged = judged.filter("low < high").withColumn("first", F.min("id").over(same)).filter("first < id OR varied")
     judged = kept(judged.select("row", "at", (F.col("first") < F.col("id")).alias("copied")), "suffix-judged")
-    dropped(spark)
+    released(spark)
     copies = judged.filter("copied").select("row", F.greatest(F.col("at") - HALF, F.lit(0)).alias("lo"), (F.col("at") + 2 * HALF).alias("hi"))
     borders = _border_strings(rows, judged.filter("NOT copied").select("row", "at"))
     single = borders.withColumn("first", F.min("id").over(Window.partitionBy("pair"))).filter("first < id")
@@ -229,7 +229,7 @@ def removed(docs: DataFrame) -> DataFrame:
     repeated = rows.groupBy("id").count().filter("count > 1").head(1)
     rows = rows.withColumn("row", F.xxhash64("id", "text") if repeated else F.col("id"))
     found = kept(spans(rows).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
-    dropped(rows.sparkSession)
+    released(rows.sparkSession)
 
     def run(batches):
         for b in batches:
