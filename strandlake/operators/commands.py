@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,17 @@ def fuzzy_options(splice: int | None, end: int | None) -> bool:
     return splice is not None
 
 
+def _alone(f):
+    """A command that writes: no other writer from its first read to its last commit."""
+
+    @wraps(f)
+    def run(self, *args, **options):
+        with self.registry.writing():
+            return f(self, *args, **options)
+
+    return run
+
+
 class Commands:
     """The commands over one registry folder. A failed command leaves the registry as it was."""
 
@@ -50,6 +62,7 @@ class Commands:
 
     # -- reference and annotations
 
+    @_alone
     def initialize(self, fasta: str, assembly: str, annotation_path: str, annotation_name: str, alias_path: str | None = None, fmt: str | None = None) -> None:
         if self.registry.table("reference_context") is not None:
             raise RegistryError("the registry exists")
@@ -61,6 +74,7 @@ class Commands:
         models = self._models(annotation_path, fmt, names, alias, annotation.fingerprint(names))
         self.registry.commit(new | self._annotation_tables(models, annotation_name, annotation_path))
 
+    @_alone
     def annotation_add(self, annotation_path: str, annotation_name: str, fmt: str | None = None) -> bool:
         """The same name with the same content changes nothing; with other content it is an error."""
         models = self._stored_models(annotation_path, fmt)
@@ -92,6 +106,7 @@ class Commands:
 
     # -- imports
 
+    @_alone
     def import_file(self, path: str, sample: str, tool: str, annotation_name: str, fmt: str | None = None, splice: int | None = None, end: int | None = None, gtf: str | None = None, mapping: str | None = None) -> dict:
         """Import a file once; the same annotation, sample, tool and checksum give the stored rows again."""
         fuzzy = fuzzy_options(splice, end)
@@ -136,6 +151,7 @@ class Commands:
         out = rows.join(placed.select("ordinal", "locus"), "ordinal", "left").withColumn("output_gene_id", F.coalesce("output_gene_id", name))
         return out, founders.select("locus", name.alias("public_id"), "f.*", F.lit(import_id).alias("import_id"))
 
+    @_alone
     def batch(self, manifest: DataFrame, folder: str, splice: int | None = None, end: int | None = None) -> list[dict]:
         """Import a manifest's files in its order, cluster once, then write every file's outputs. Each import is its own commit."""
         fuzzy = fuzzy_options(splice, end)
@@ -174,6 +190,7 @@ class Commands:
 
     # -- clusters
 
+    @_alone
     def cluster(self, splice: int, end: int) -> bool:
         """Cluster all observed forms; a run over the same forms with the same tolerances is used again."""
         fuzzy_options(splice, end)

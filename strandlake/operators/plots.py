@@ -24,6 +24,17 @@ def _box(x: float, y: float, w: float, h: float, fill: str, extra: str = "") ->
     return f'<rect x="{x:.2f}" y="{y:g}" width="{w:.2f}" height="{h:g}" fill="{fill}"{extra}/>'
 
 
+def wrapped_items(prefix: str, items: list[str], width: int = 58) -> list[str]:
+    """Items in lines of about `width` characters after a prefix; later lines are indented by as much. An item is never cut."""
+    lines: list[str] = []
+    for item in items:
+        if lines and len(lines[-1]) + 3 + len(item) <= width:
+            lines[-1] += f" · {item}"
+        else:
+            lines.append((" " * len(prefix) if lines else prefix) + item)
+    return lines
+
+
 def _svg(width: int, height: int, title: str, body: list[str]) -> str:
     head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}" role="img">'
     return "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', head, f"<title>{escape(title)}</title>", _box(0, 0, width, height, "white"), *body, "</svg>", ""])
@@ -97,21 +108,30 @@ def observed_tracks(seen: DataFrame) -> DataFrame:
 def gene(c: Commands, query: str, path: str) -> None:
     """Reference and observed transcripts on one axis; colours follow clusters, a dashed outline marks a bridge."""
     how, genes, refs, seen = resolved_gene(c, query)
-    tracks = [("#475569", "", t.transcript_id, ", ".join(t.annotations), t.spans) for t in reference_tracks(refs).collect()]
+    tracks = [("#475569", "", t.transcript_id, [*wrapped_items("form ", [t.form_id]), *wrapped_items("in ", t.annotations)], t.spans) for t in reference_tracks(refs).collect()]
+    bridged = False
     for t in observed_tracks(seen).collect():
-        edge = ' stroke="#b91c1c" stroke-dasharray="3 2"' if "ambiguous_bridge" in t.bridges else ""
-        tracks.append((f"hsl({t.hue},60%,45%)", edge, t.form_id, f"{t.n} seen in {', '.join(t.samples)} by {', '.join(t.tools)}: {', '.join(t.labels)}", t.spans))
+        bridge = "ambiguous_bridge" in t.bridges
+        bridged |= bridge
+        edge = ' stroke="#b91c1c" stroke-dasharray="3 2"' if bridge else ""
+        about = [f"{t.n} seen: {', '.join(t.labels)}", *wrapped_items("samples ", t.samples), *wrapped_items("tools ", t.tools), *wrapped_items("input ids ", [x.transcript_id for x in t.old_ids])]
+        about += [*wrapped_items("chain ", t.chains), *wrapped_items("cluster ", t.clusters)]
+        tracks.append((f"hsl({t.hue},60%,45%)", edge, t.form_id, about, t.spans))
     low, high = min(t[4][0].start for t in tracks), max(t[4][-1].end for t in tracks)
     pad = max(1, round((high - low + 1) * 0.03))
-    left, wide = 300, 640
+    left, wide = 360, 640
     at = lambda p: left + wide * (p - low + pad) / (high - low + 1 + 2 * pad)
     place = refs.select("contig", "strand").unionByName(seen.select("contig", "strand")).first()
     body = [_words(20, 30, f"{query}: {', '.join(genes)}", 20), _words(20, 52, f"{place.contig}({place.strand}) {low}-{high}, found by {how}")]
-    for i, (colour, edge, name, about, spans) in enumerate(tracks):
-        y = 80 + 34 * i
-        body += [_words(20, y + 10, name, 11), _words(20, y + 23, about, 9, ' fill="#64748b"'), _box(at(spans[0].start), y + 7, at(spans[-1].end) - at(spans[0].start), 1, colour)]
+    if bridged:
+        body.append(_words(left, 52, "A dashed outline marks a form that fits several clusters.", 11, ' fill="#b91c1c"'))
+    y = 80
+    for colour, edge, name, about, spans in tracks:
+        body += [_words(20, y + 10, name, 11), *[_words(20, y + 22 + 11 * i, line, 9, ' fill="#64748b" xml:space="preserve"') for i, line in enumerate(about)]]
+        body.append(_box(at(spans[0].start), y + 7, at(spans[-1].end) - at(spans[0].start), 1, colour))
         body += [_box(at(x.start), y, max(1.0, at(x.end + 1) - at(x.start)), 15, colour, edge) for x in spans]
-    y = 90 + 34 * len(tracks)
+        y += 24 + 11 * len(about)
+    y += 10
     body += [_box(left, y, wide, 1, "#111827")]
     body += [_words(at(low + (high - low) * k // 4), y + 18, low + (high - low) * k // 4, 10, ' text-anchor="middle"') for k in range(5)]
-    files.write_text(c.spark, path, _svg(960, y + 40, f"Transcripts of {query}", body))
+    files.write_text(c.spark, path, _svg(1020, y + 40, f"Transcripts of {query}", body))

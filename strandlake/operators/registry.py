@@ -1,15 +1,18 @@
 """The registry: one Parquet dataset a table, staged imports, and what is computed over it.
 
-A commit writes a table's next version in full beside the current one and then replaces one small
-pointer file by rename, so readers see the old state or the new one. There is one writer at a time.
+A commit writes new parts of tables and then, by rename, one small file that names all parts: the state of the next
+number. Readers take the greatest number, so they see the old state or the new one and never none. A lock file keeps writers apart.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,13 +92,20 @@ class Registry:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._hpath = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._hpath(self.path).getFileSystem(conf)
+        self._held = False
         self._text = lambda stream: jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
 
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._hpath(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._hpath(self.path))]
+        return sorted(int(n[6:-5]) for n in names if n.startswith("state-") and n.endswith(".json"))
+
     def _state(self) -> dict:
-        pointer = self._hpath(f"{self.path}/current.json")
-        if not self._fs.exists(pointer):
-            return {"schema_version": SCHEMA_VERSION, "tables": {}}
-        stream = self._fs.open(pointer)
+        numbers = self._numbers()
+        if not numbers:
+            return {"schema_version": SCHEMA_VERSION, "number": 0, "tables": {}}
+        stream = self._fs.open(self._hpath(f"{self.path}/state-{numbers[-1]:08d}.json"))
         try:
             state = json.loads(self._text(stream))
         finally:
@@ -105,12 +115,31 @@ class Registry:
         return state
 
     def _point(self, state: dict) -> None:
-        staged, pointer = (self._hpath(f"{self.path}/{n}") for n in (f".{uuid.uuid4().hex}.json", "current.json"))
+        state["number"] += 1
+        staged, target = (self._hpath(f"{self.path}/{n}") for n in (f".{uuid.uuid4().hex}.json", f"state-{state['number']:08d}.json"))
         out = self._fs.create(staged)
         out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(pointer, False)
-        self._fs.rename(staged, pointer)
+        if not self._fs.rename(staged, target):
+            raise RegistryError(f"cannot write state {state['number']}")
+
+    @contextmanager
+    def writing(self):
+        """Hold the writer's lock; a command holds it from its first read to its last commit."""
+        if self._held:
+            yield
+            return
+        lock = self._hpath(f"{self.path}/writer.lock")
+        try:
+            self._fs.create(lock, False).close()
+        except Py4JJavaError as e:
+            raise RegistryError(f"another writer is at work, or one was lost: then delete {self.path}/writer.lock") from e
+        self._held = True
+        try:
+            yield
+        finally:
+            self._held = False
+            self._fs.delete(lock, False)
 
     def table(self, name: str) -> DataFrame | None:
         parts = self._state()["tables"].get(name)
@@ -118,22 +147,25 @@ class Registry:
 
     def commit(self, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None) -> None:
         """Append rows to tables and replace others, all or nothing."""
-        state = self._state()
-        for name, df in [*added.items(), *(replaced or {}).items()]:
-            part = f"{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.path}/{part}")
-            state["tables"][name] = [*(state["tables"].get(name, []) if name in added else []), part]
-        self._point(state)
+        with self.writing():
+            state = self._state()
+            for name, df in [*added.items(), *(replaced or {}).items()]:
+                part = f"{name}/{uuid.uuid4().hex}"
+                df.write.parquet(f"{self.path}/{part}")
+                state["tables"][name] = [*(state["tables"].get(name, []) if name in added else []), part]
+            self._point(state)
 
     def imported(self, manifest: dict[str, str], observations: DataFrame) -> bool:
         """Append an import once; the same manifest again changes nothing."""
-        old = self.table("import_manifest")
-        if old is not None and old.filter(F.to_json(F.struct(*[F.col(k) for k in sorted(manifest)])) == json.dumps(manifest, sort_keys=True, separators=(",", ":"))).head(1):
-            return False
-        forms = self.new_structures(observations)
-        row = self.spark.createDataFrame([tuple(manifest[k] for k in sorted(manifest))], ", ".join(f"{k} string" for k in sorted(manifest)))
-        self.commit({"import_manifest": row, "structural_object": forms, "observation": observations.withColumns({k: F.lit(v) for k, v in manifest.items()})})
-        return True
+        with self.writing():
+            old = self.table("import_manifest")
+            same = lambda k: F.col(k).eqNullSafe(F.lit(manifest[k]))
+            if old is not None and old.filter(reduce(lambda x, y: x & y, map(same, manifest))).head(1):
+                return False
+            forms = self.new_structures(observations)
+            row = self.spark.createDataFrame([tuple(manifest[k] for k in sorted(manifest))], ", ".join(f"{k} string" for k in sorted(manifest)))
+            self.commit({"import_manifest": row, "structural_object": forms, "observation": observations.withColumns({k: F.lit(v) for k, v in manifest.items()})})
+            return True
 
     def new_structures(self, rows: DataFrame) -> DataFrame:
         """Forms and chains that are not stored yet; raises if a public id would name two structures."""

@@ -19,7 +19,7 @@ class Files:
     """The file system that a path lies on."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.jvm = spark.sparkContext._jvm
+        self.jvm, self.gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
         self.path = self.jvm.org.apache.hadoop.fs.Path
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self.path(path).getFileSystem(self.conf)
@@ -50,9 +50,15 @@ class Files:
         except Exception:
             self.fs.delete(staged, False)
             raise
-        self.fs.delete(target, False)
-        if not self.fs.rename(staged, target):
-            raise OutputError(f"cannot replace {p}")
+        self._renamed(staged, target)
+
+    def _renamed(self, staged, target) -> None:
+        """Rename over what there is, in one step, so that readers always find a whole file."""
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        qualified = self.fs.makeQualified
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(qualified(staged), qualified(target), how)
 
     def parts(self, folder: str) -> list:
         found = [s.getPath() for s in self.fs.listStatus(self.path(folder))]
@@ -92,6 +98,24 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     Files(spark, path).replaced(path, lambda out: out.write(bytearray(text.encode())))
 
 
+def write_concatenated(spark: SparkSession, paths: list[str], path: str) -> None:
+    """Files one after the other; a file whose last line is not ended gets a line break."""
+    files = Files(spark, path)
+
+    def fill(out) -> None:
+        for p in paths:
+            source, size = Files(spark, p), Files(spark, p).size(p)
+            stream = source.fs.open(source.path(p))
+            files.jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            if size:
+                stream.seek(size - 1)
+                if stream.read() != 10:
+                    out.write(10)
+            stream.close()
+
+    files.replaced(path, fill)
+
+
 def write_json(spark: SparkSession, path: str, value) -> None:
     write_text(spark, path, json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n")
 
