@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import escaped
+from .text import cigar, escaped
 
 #: Fixed values of the rewritten files: the producer, the prefix of attributes that would clash, attributes that come first.
 PRODUCER, CLASH, FIRST = "txid", "txid_upstream_", ["gene_id", "transcript_id", "exon_number"]
@@ -109,6 +109,12 @@ def genepred_line() -> Column:
     return F.concat_ws("\t", "transcript_id", "contig", "strand", s0, "end", s0, "end", F.size("exons"), listed(lambda x: x["start"] - 1), listed(lambda x: x["end"]))
 
 
+def sam_line(bases: Column) -> Column:
+    """A transcript as a SAM record: bases from left to right on the contig, 16 for the reverse strand."""
+    flag = F.when(F.col("strand") == "-", 16).otherwise(0)
+    return F.concat_ws("\t", "transcript_id", flag, "contig", "start", F.lit(60), cigar(), F.lit("*"), F.lit(0), F.lit(0), bases, F.lit("*"))
+
+
 def neutral_gtf_lines(rows: DataFrame) -> DataFrame:
     """Gene, transcript and exon records of plain models; a transcript without gene is its own gene."""
     gene = F.coalesce("gene_id", F.concat(F.lit("unresolved-"), "transcript_id"))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.structure import problems
 from strandlake.functions.text import last_value, percent_decoded, unescaped
+from strandlake.session import stored
 
 #: Features that carry a transcript's own record, by format.
 TRANSCRIPTS = {"gtf": ["transcript", "mrna"], "gff3": ["mrna", "transcript", "lnc_rna", "ncrna", "rrna", "trna"]}
 #: A GTF attribute: a key and a quoted value with escapes, or a bare one.
-PAIR = r'\s*([^\s;"]+)\s+(?:"((?:[^"\\]|\\.)*)"|([^;"]*?))\s*(?:;|$)'
+PAIR = r'\s*([^\s;"]+)\s+(?:"((?:[^"\\]|\\.)*)"|([^;"\s][^;"]*?))\s*(?:;|$)'
 
 
 class AnnotationError(ValueError):
@@ -37,7 +38,7 @@ def gtf_attributes(c: str) -> F.Column:
 
 def gff3_attributes(c: str) -> F.Column:
     """Fields are parted before they are decoded."""
-    fields = F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    fields = F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: (x != "") & (x != "."))
     return F.transform(fields, lambda x: F.struct(percent_decoded(F.substring_index(x, "=", 1)).alias("key"), percent_decoded(F.regexp_replace(x, r"^[^=]*=", "")).alias("value")))
 
 
@@ -53,14 +54,17 @@ def records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame
     keys = ["gene_id", "transcript_id"]
     twice = F.lit(False)
     if fmt == "gtf":
+        # what no attribute covers: an open quote, a key without a value, text after a closing quote
+        malformed = F.rlike(F.regexp_replace("text", PAIR, ""), F.lit(r"[^\s;]"))
         for k in keys:
             found = F.transform("attributes", lambda a: a["key"])
             twice = twice | (F.size(found) - F.size(F.array_remove(found, k)) > 1)
     else:
         names = F.transform("attributes", lambda a: a["key"])
         twice = F.size(names) != F.size(F.array_distinct(names))
+        malformed = (F.trim("text") != ".") & F.exists(F.split("text", ";"), lambda x: (F.trim(x) != "") & ~F.rlike(x, F.lit("^[^=]+=")))
     error = F.when(F.col("n") != 9, "not nine columns").when(F.col("start").isNull() | F.col("end").isNull(), "no integer coordinates").when((F.col("start") < 1) | (F.col("end") < F.col("start")), "invalid interval")
-    error = error.when(~F.col("strand").isin("+", "-", "."), "invalid strand").when(twice, "repeated key")
+    error = error.when(~F.col("strand").isin("+", "-", "."), "invalid strand").when(malformed, "malformed attributes").when(twice, "repeated key")
     return df.withColumn("error", error).drop("n", "text")
 
 
@@ -72,6 +76,7 @@ def transcripts(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     """
     fmt = fmt or file_format(path)
     rows = records(spark, path, fmt).filter(F.lower("feature").isin("exon", *TRANSCRIPTS[fmt]) | F.col("error").isNotNull())
+    rows = stored(rows, "annotation-records")  # parsed once; the checks below read it again and again
     if bad := rows.filter("error IS NOT NULL").head(1):
         raise AnnotationError(f"{bad[0].error}: {bad[0].contig} {bad[0].feature} {bad[0].start} {bad[0].end}")
     is_exon = F.lower("feature") == "exon"
@@ -99,7 +104,7 @@ def transcripts(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     named = genes.groupBy("transcript_id").agg(F.max("gene_id").alias("gene_id"), F.countDistinct("gene_id").alias("genes"))
     out = found.join(named, "transcript_id", "left").join(last, "transcript_id", "left")
     error = F.when(F.col("places") > 1, "more than one contig or strand").when(F.col("genes") > 1, "more than one gene").when((F.col("own.contig") != F.col("contig")) | (F.col("own.strand") != F.col("strand")), "the transcript's record lies elsewhere").otherwise(problems())
-    out = out.withColumn("error", error)
+    out = stored(out.withColumn("error", error), "annotation-models")
     if bad := out.filter("error IS NOT NULL").head(1):
         raise AnnotationError(f"transcript {bad[0].transcript_id}: {bad[0].error}")
     attributes = F.coalesce("own.attributes", F.array().cast("array<struct<key:string,value:string>>"))
@@ -165,6 +170,7 @@ def identity_view(records_: DataFrame) -> DataFrame:
 def sequences(spark: SparkSession, path: str) -> DataFrame:
     """name and sequence of a FASTA file; one row a sequence, so one sequence must fit a task."""
     parts = spark.read.option("lineSep", "\n>").text(path).filter("trim(value) <> ''")
+    parts = parts.filter(r"value RLIKE '\\S'")
     head = F.split(F.regexp_replace("value", r"^\s*>", ""), r"\r?\n", 2)
     rows = parts.select(F.substring_index(F.regexp_replace(head[0], r"\s+", " "), " ", 1).alias("name"), F.upper(F.regexp_replace(F.coalesce(F.try_element_at(head, F.lit(2)), F.lit("")), r"\s+", "")).alias("s"))
     return rows.withColumnRenamed("s", "sequence")
@@ -173,6 +179,14 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
 def contigs(spark: SparkSession, path: str) -> DataFrame:
     """name, length and sequence_digest of each sequence."""
     rows = sequences(spark, path).select("name", F.length("sequence").cast("long").alias("length"), F.sha2("sequence", 256).alias("sequence_digest"))
+    if not rows.head(1):
+        raise AnnotationError("no sequences")
+    pieces = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    first = pieces.groupBy("file").agg(F.min_by(F.substring("value", 1, 1000), "at").alias("head"))
+    if first.filter(r"trim(head) RLIKE '\\S' AND NOT head RLIKE '^\\s*>'").head(1):
+        raise AnnotationError("a sequence stands before any header")
+    if sequences(spark, path).filter(r"sequence RLIKE '[^\\x00-\\x7F]'").head(1):
+        raise AnnotationError("a sequence is not ASCII")
     if rows.filter("name = '' OR length = 0").head(1) or rows.groupBy("name").count().filter("count > 1").head(1):
         raise AnnotationError("a sequence has no name, no bases or a name that repeats")
     return rows
