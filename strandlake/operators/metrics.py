@@ -77,15 +77,22 @@ def transitions(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFra
     return a.join(b, key).groupBy("old_label", "new_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def snapshots(df: DataFrame, key: str, snapshot: str, labels: str) -> DataFrame:
-    """Per snapshot: keys held, and keys whose label set lost a member since the one before. Snapshots are cumulative."""
-    sets = df.groupBy(key, snapshot).agg(F.array_sort(F.collect_set(labels)).alias("now"))
-    w = Window.partitionBy(key).orderBy(snapshot)
-    sets = sets.withColumns({"before": F.lag("now").over(w), "previous": F.lag(snapshot).over(w)})
-    lost = F.size(F.array_except("before", "now")) > 0
-    return sets.groupBy(snapshot).agg(
-        F.count(F.lit(1)).alias("n_keys"), F.sum(F.col("before").isNull().cast("long")).alias("n_new"), F.sum(F.coalesce(lost, F.lit(False)).cast("long")).alias("n_lost_labels")
+def snapshots(df: DataFrame, key: str, snapshot: str, labels: str, chain: str) -> DataFrame:
+    """Per snapshot: keys held, and against the very next one before it keys that are new, that are gone, whose label set lost a member, and whose chain changed.
+
+    Snapshots are numbered in their order, so a key that skips one counts as gone and then as new.
+    """
+    order = df.select(snapshot).distinct().withColumn("_i", F.row_number().over(Window.orderBy(snapshot)))  # a row a snapshot
+    sets = df.groupBy(key, snapshot).agg(F.collect_set(labels).alias("now"), F.max(chain).alias("chain")).join(F.broadcast(order), snapshot)
+    before = sets.select(key, (F.col("_i") + 1).alias("_i"), F.col("now").alias("old"), F.col("chain").alias("old_chain"))
+    both = sets.select(key, "_i", "now", "chain").join(before, [key, "_i"], "full")
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    held, had = F.col("now").isNotNull(), F.col("old").isNotNull()
+    found = both.groupBy("_i").agg(
+        count(held).alias("n_keys"), count(held & ~had).alias("n_new"), count(had & ~held).alias("n_gone"),
+        count(held & had & (F.size(F.array_except("old", "now")) > 0)).alias("n_lost_labels"), count(held & had & ~F.col("chain").eqNullSafe(F.col("old_chain"))).alias("n_changed_chains"),
     )
+    return found.join(F.broadcast(order), "_i").drop("_i")
 
 
 def best_alignments(df: DataFrame, query: str, target: str, score: str, order: list[str]) -> DataFrame:

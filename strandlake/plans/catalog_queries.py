@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import structure, text
 from strandlake.operators import classify, metrics, registry, stateful
+from strandlake.session import stored
 
 from . import driver_tables as t
 
@@ -82,16 +82,28 @@ def observed_tracks(spark, d):
     return _classified(spark, d).groupBy("form_id").agg(F.min("contig").alias("contig"), F.min("strand").alias("strand"), F.count(F.lit(1)).alias("n"), joined("sample").alias("samples"), joined("label").alias("labels"), F.min(exons).alias("exons"))
 
 
-@query("SELECT form_id, count(DISTINCT sha256(form_json)) AS digests, count(*) AS n FROM tx GROUP BY form_id HAVING count(*) > 1 OR count(DISTINCT sha256(form_json)) > 1")
+@query("SELECT form_id, CAST(2 - (min(k) % 2) AS BIGINT) AS digests, 2 * count(*) AS n FROM tx GROUP BY form_id")
 def repeated_forms(spark, d):
-    """Forms that recur; more than one digest would be a collision."""
-    return registry.collisions(t.transcripts(spark, d), repeated=True)
+    """Forms that recur; more than one digest would be a collision. Each is given twice, with another digest for even numbers."""
+    rows = t.transcripts(spark, d)
+    other = F.when(F.col("k") % 2 == 0, F.sha2(F.concat("form.full_digest", F.lit("x")), 256)).otherwise(F.col("form.full_digest"))
+    return registry.collisions(rows.unionByName(rows.withColumn("form", F.col("form").withField("full_digest", other))), repeated=True)
 
 
-@query("SELECT count(*) FILTER (sha256(form_json) IS NULL) AS invalid, count(*) AS checked FROM tx")
+@query("SELECT form_id, 2::BIGINT AS digests, 2::BIGINT AS n FROM tx WHERE k % 2 = 0")
+def collisions(spark, d):
+    """Only the forms with two digests."""
+    rows = t.transcripts(spark, d)
+    other = F.when(F.col("k") % 2 == 0, F.sha2(F.concat("form.full_digest", F.lit("x")), 256)).otherwise(F.col("form.full_digest"))
+    return registry.collisions(rows.unionByName(rows.withColumn("form", F.col("form").withField("full_digest", other)))).filter("digests > 1")
+
+
+@query("SELECT count(*) FILTER (k % 7 = 0 OR k % 5 = 0) AS invalid, count(*) AS checked FROM tx")
 def digest_validation(spark, d):
-    """C14."""
-    return registry.validated(t.transcripts(spark, d))
+    """C14: stored digests and names are wrong for some numbers, and all are checked."""
+    digest = F.when(F.col("k") % 7 == 0, F.sha2("form.full_digest", 256)).otherwise(F.col("form.full_digest"))
+    name = F.when(F.col("k") % 5 == 0, F.concat("form.public_id", F.lit("0"))).otherwise(F.col("form.public_id"))
+    return registry.validated(t.transcripts(spark, d).withColumn("form", F.col("form").withField("full_digest", digest).withField("public_id", name)))
 
 
 @query("SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS lineitem_orders, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orders_customer", plain=True)
@@ -127,9 +139,8 @@ def fuzzy_clusters(spark, d):
 def loci(spark, d):
     """J1, F1, F7; tested against a sequential model."""
     rows = _classified(spark, d).filter("output_gene_id IS NULL")
-    order = Window.partitionBy("contig").orderBy("start", "end", "strand", "form_id", "query_id")
-    rows = rows.withColumn("ordinal", F.regexp_extract("contig", r"\d+", 0).cast("long") * 10_000_000_000 + F.row_number().over(order))
-    out = stateful.allocated(rows.select("ordinal", "query_id", "contig", "strand", F.col("label").alias("status"), F.col("gene_candidates").alias("candidates"), "start", "end"))
+    rows = registry.numbered(rows, [F.col("contig"), F.floor(F.col("start") / stateful.RANGE)], ["contig", "start", "end", "strand", "form_id", "query_id"], "ordinal")
+    out = stateful.allocated(stored(rows.select("ordinal", "query_id", "contig", "strand", F.col("label").alias("status"), F.col("gene_candidates").alias("candidates"), "start", "end"), "loci-input"))
     return out.select("query_id", text.accession("GL1.", F.col("locus")).alias("locus_id"))
 
 
@@ -181,7 +192,7 @@ def count_matrix(spark, d):
 @query("SELECT old.label AS old_label, new.label AS new_label, count(*) AS n FROM classified old JOIN (SELECT query_id, CASE WHEN k % 9 = 1 THEN 'new_locus' ELSE label END AS label FROM classified) new USING (query_id) GROUP BY ALL")
 def label_transitions(spark, d):
     """E32, D16, D23."""
-    old = _classified(spark, d)
+    old = stored(_classified(spark, d).select("k", "query_id", "label"), "labels")
     return metrics.transitions(old, old.withColumn("label", F.when(F.col("k") % 9 == 1, "new_locus").otherwise(F.col("label"))), "query_id", "label")
 
 
@@ -207,17 +218,20 @@ def exon_histogram(spark, d):
     return t.observed(spark, d).groupBy("exon_count").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT chain_id, count(DISTINCT form_id) AS forms, count(DISTINCT tool) AS tools FROM obs WHERE chain_id IS NOT NULL GROUP BY chain_id HAVING count(DISTINCT form_id) > 1")
+@query("SELECT chain_id, 2 * count(DISTINCT form_id) AS forms, count(DISTINCT tool) AS tools FROM obs WHERE chain_id IS NOT NULL GROUP BY chain_id")
 def end_variant_chains(spark, d):
-    """E27."""
-    return t.observed(spark, d).filter("chain_id IS NOT NULL").groupBy("chain_id").agg(F.countDistinct("form_id").alias("forms"), F.countDistinct("tool").alias("tools")).filter("forms > 1")
+    """Each spliced observation once more with its last exon longer, which is another form of the same chain."""
+    o = t.observed(spark, d).select("transcript_id", "contig", "strand", "exons", "tool")
+    longer = o.withColumn("exons", F.expr("transform(exons, (x, i) -> named_struct('start', x.start, 'end', IF(i = size(exons) - 1, x.end + 7, x.end)))"))
+    both = structure.with_identity(structure.with_shape(o.unionByName(longer)), t.ASSEMBLY).select("tool", F.col("form.public_id").alias("form_id"), F.col("splice_chain.public_id").alias("chain_id"))
+    return both.filter("chain_id IS NOT NULL").groupBy("chain_id").agg(F.countDistinct("form_id").alias("forms"), F.countDistinct("tool").alias("tools")).filter("forms > 1")
 
 
-@query("WITH s AS (SELECT user_id, date_trunc('month', ts) AS m, list_sort(list(DISTINCT event_type)) AS now FROM events GROUP BY ALL), l AS (SELECT *, lag(now) OVER (PARTITION BY user_id ORDER BY m) AS old FROM s) SELECT strftime(m, '%Y-%m') AS month, count(*) AS n_keys, (count(*) FILTER (old IS NULL)) AS n_new, (count(*) FILTER (old IS NOT NULL AND NOT list_has_all(now, old))) AS n_lost_labels FROM l GROUP BY m", plain=True)
+@query("WITH s AS (SELECT user_id, date_trunc('day', ts) AS m, list(DISTINCT event_type) AS now, max(day(ts) // 3) AS chain FROM events GROUP BY ALL), o AS (SELECT m, row_number() OVER (ORDER BY m) AS i FROM (SELECT DISTINCT m FROM s)), n AS (SELECT s.*, i FROM s JOIN o USING (m)), f AS (SELECT coalesce(a.i, b.i + 1) AS i, a.now, b.now AS old, a.chain, b.chain AS old_chain FROM n a FULL JOIN n b ON a.user_id = b.user_id AND a.i = b.i + 1) SELECT strftime(o.m, '%Y-%m-%d') AS day, count(now) AS n_keys, count(*) FILTER (old IS NULL) AS n_new, count(*) FILTER (now IS NULL) AS n_gone, count(*) FILTER (now IS NOT NULL AND old IS NOT NULL AND NOT list_has_all(now, old)) AS n_lost_labels, count(*) FILTER (now IS NOT NULL AND old IS NOT NULL AND chain <> old_chain) AS n_changed_chains FROM f JOIN o USING (i) GROUP BY o.m", plain=True)
 def snapshot_changes(spark, d):
     """E25, F8, J9."""
-    e = spark.read.parquet(f"{d}/events.parquet").withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return metrics.snapshots(e, "user_id", "month", "event_type")
+    e = spark.read.parquet(f"{d}/events.parquet").withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "chain": F.expr("day(ts) div 3")})
+    return metrics.snapshots(e, "user_id", "day", "event_type", "chain")
 
 
 @query("WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS k FROM lineitem), c AS (SELECT *, row_number() OVER w AS r, lead(l_extendedprice) OVER w AS runner_up FROM b WHERE k = 1 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_linenumber, l_partkey)) SELECT CASE WHEN NOT l_quantity >= 5 THEN 'low_identity' WHEN NOT l_discount <= 0.08 THEN 'low_query_coverage' WHEN NOT l_tax <= 0.07 THEN 'low_target_coverage' WHEN NOT l_extendedprice - coalesce(runner_up, 0) >= 1000 THEN 'ambiguous' ELSE 'accepted' END AS reason, count(*) AS n FROM c WHERE r = 1 GROUP BY reason", plain=True)
