@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,16 +121,15 @@ def percentile(values: list[float], share: float) -> float:
 
 
 def bootstrap_ratio(strata: list[tuple[int, int]], draws: int = 1000, seed: int = 1, level: float = 0.95) -> dict[str, float]:
-    """Interval of sum(a) / sum(b) over resampled strata; the strata come from an aggregate."""
-    rng, found = random.Random(seed), []
-    for _ in range(draws):
-        a = b = 0
-        for k in rng.choices(range(len(strata)), k=len(strata)):
-            a, b = a + strata[k][0], b + strata[k][1]
-        found.append(a / b if b else 0.0)
-    total = sum(b for _, b in strata)
+    """Interval of sum(a) / sum(b) over resampled strata; the strata come from an aggregate. Equal ones are drawn together, by their number."""
+    kinds = sorted(Counter(strata).items())
+    n, (a, b) = len(strata), np.array([k for k, _ in kinds], dtype=np.float64).reshape(-1, 2).T
+    times = np.random.default_rng(seed).multinomial(n, np.array([m for _, m in kinds]) / n, size=draws) if n else np.zeros((draws, 0))
+    top, bottom = times @ a, times @ b
+    found = np.divide(top, bottom, out=np.zeros(draws), where=bottom > 0).tolist()
+    total = sum(y for _, y in strata)
     tail = (1 - level) / 2
-    return {"estimate": sum(a for a, _ in strata) / total if total else 0.0, "low": percentile(found, tail), "high": percentile(found, 1 - tail)}
+    return {"estimate": sum(x for x, _ in strata) / total if total else 0.0, "low": percentile(found, tail), "high": percentile(found, 1 - tail)}
 
 
 def bootstrap_discovery(hits: int, truth: int, right: int, predicted: int, draws: int = 1000, seed: int = 1, level: float = 0.95) -> dict[str, float]:
@@ -150,14 +151,21 @@ def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
 
 
 def partition_metrics(df: DataFrame, cluster: str, form: str, chain: str, row: str) -> DataFrame:
-    """Clusters against exact forms: mixed clusters, those that only merge end variants, split forms, and the matrix of rows and clusters."""
+    """Clusters against exact forms: mixed clusters, those that only merge end variants, split forms, and the matrix of rows and clusters.
+
+    Rows without a cluster are omitted members: they are counted, with the forms that are omitted as a whole, and take no part in the rest.
+    """
+    lost = df.groupBy(form).agg(F.count_if(F.col(cluster).isNull()).alias("o"), F.count(cluster).alias("k"))
+    lost = lost.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("omitted"), F.count_if(F.expr("k = 0")).alias("omitted_forms"))
+    df = df.filter(F.col(cluster).isNotNull())
     by_cluster = df.groupBy(cluster).agg(F.count_distinct(form).alias("f"), F.count_distinct(F.coalesce(chain, form)).alias("c"))
     by_form = df.groupBy(form).agg(F.count_distinct(cluster).alias("k"))
     a = by_cluster.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.expr("f > 1")).alias("mixed"), F.count_if(F.expr("f > 1 AND c = 1")).alias("end_merges"))
     b = by_form.agg(F.count(F.lit(1)).alias("forms"), F.count_if(F.expr("k > 1")).alias("split_forms"))
     cells = df.select(row, cluster).distinct().agg(F.count(F.lit(1)).alias("cells"), F.count_distinct(row).alias("rows"))
-    out = a.join(b).join(cells)  # single rows
-    return out.withColumn("occupancy", ratio("cells", "clusters") / F.greatest("rows", F.lit(1)))
+    out = a.join(b).join(cells).join(lost)  # single rows
+    out = out.withColumn("occupancy", ratio("cells", "clusters") / F.greatest("rows", F.lit(1)))
+    return out.withColumn("sparsity", F.when(F.col("cells") > 0, 1 - F.col("occupancy")).otherwise(F.lit(0.0)))
 
 
 def signature_changes(left: DataFrame, right: DataFrame, label: str, member: str) -> DataFrame:

@@ -91,10 +91,10 @@ def member_signatures(spark, d):
     return rows.select("chain_id", F.sha2(F.array_join("m", "\n"), 256).alias("signature"))
 
 
-@query("SELECT a.*, b.*, c.*, cells / clusters / c.rows AS occupancy FROM (SELECT count(*) AS clusters, count(*) FILTER (f > 1) AS mixed, count(*) FILTER (f > 1 AND n = 1) AS end_merges FROM (SELECT tool || contig AS q, count(DISTINCT form_id) AS f, count(DISTINCT coalesce(chain_id, form_id)) AS n FROM obs GROUP BY q)) a, (SELECT count(*) AS forms, count(*) FILTER (n > 1) AS split_forms FROM (SELECT count(DISTINCT tool || contig) AS n FROM obs GROUP BY form_id)) b, (SELECT count(DISTINCT sample || '|' || tool || contig) AS cells, count(DISTINCT sample) AS rows FROM obs) c")
+@query(", part AS (SELECT *, CASE WHEN k % 10 <> 1 THEN tool || contig END AS q FROM obs) SELECT a.*, b.*, c.*, o.*, cells / clusters / c.rows AS occupancy, 1 - cells / clusters / c.rows AS sparsity FROM (SELECT count(*) AS clusters, count(*) FILTER (f > 1) AS mixed, count(*) FILTER (f > 1 AND n = 1) AS end_merges FROM (SELECT q, count(DISTINCT form_id) AS f, count(DISTINCT coalesce(chain_id, form_id)) AS n FROM part WHERE q IS NOT NULL GROUP BY q)) a, (SELECT count(*) AS forms, count(*) FILTER (n > 1) AS split_forms FROM (SELECT count(DISTINCT q) AS n FROM part WHERE q IS NOT NULL GROUP BY form_id)) b, (SELECT count(DISTINCT sample || '|' || q) AS cells, count(DISTINCT sample) AS rows FROM part WHERE q IS NOT NULL) c, (SELECT sum(n - k)::BIGINT AS omitted, count(*) FILTER (k = 0) AS omitted_forms FROM (SELECT count(*) AS n, count(q) AS k FROM part GROUP BY form_id)) o")
 def partition_metrics(spark, d):
-    """E15, E16."""
-    rows = t.observed(spark, d).withColumn("cluster", F.concat("tool", "contig"))
+    """With members that have no cluster."""
+    rows = t.observed(spark, d).withColumn("cluster", F.when(F.col("k") % 10 != 1, F.concat("tool", "contig")))
     return metrics.partition_metrics(rows, "cluster", "form_id", "chain_id", "sample")
 
 

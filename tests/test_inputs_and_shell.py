@@ -68,6 +68,19 @@ def test_snapshots_against_the_very_next(spark):
     assert got == {"a": (2, 2, 0, 0, 0), "b": (2, 1, 1, 1, 1), "c": (2, 1, 1, 0, 0)}
 
 
+def test_bootstrap_by_brute_force():
+    """Against resampling one stratum at a time, within the noise of the draws; the estimate is exact."""
+    rng, strata = random.Random(3), [(k % 5, 10) for k in range(40)] + [(0, 0)] * 5
+    drawn = []
+    for _ in range(4000):
+        a, b = map(sum, zip(*rng.choices(strata, k=len(strata))))
+        drawn.append(a / b)
+    got = metrics.bootstrap_ratio(strata, 4000)
+    assert got["estimate"] == 80 / 400 and got == metrics.bootstrap_ratio(strata, 4000)
+    assert got["low"] == pytest.approx(metrics.percentile(drawn, 0.025), abs=0.005) and got["high"] == pytest.approx(metrics.percentile(drawn, 0.975), abs=0.005)
+    assert metrics.bootstrap_ratio([], 10) == {"estimate": 0.0, "low": 0.0, "high": 0.0}
+
+
 def test_islands_by_brute_force(spark, monkeypatch):
     """Intervals that reach over several ranges, and gaps at the ranges' borders."""
     monkeypatch.setattr(stateful, "RANGE", 50)
