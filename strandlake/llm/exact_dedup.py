@@ -1,13 +1,15 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by digest.
 
-A batch is deduplicated against the index by a sort-merge anti-join on the digest and its
-new digests are appended. The index keeps, for each digest, the document that owns it.
+A batch's digests are counted first, by an aggregate whose partial sums come before any shuffle. They meet the
+index in a sort-merge anti-join, and what it lacks is appended. The index keeps, for each digest,
+the document that owns it and the rows of the batch that brought it.
 
 Defined results: a null text counts as empty, so null and empty texts are copies of each
-other; of equal texts within a batch the largest doc_id stays (ties are one row's doc_id);
-a text that the index holds already is dropped in favour of the owner; an empty batch gives
-no rows and leaves the index as it is; rows with a null doc_id take part and own a digest only
-if no other row does; extra columns are carried and never read.
+other; of equal texts within a batch the largest doc_id stays, and of several rows with that doc_id
+one; a text that the index holds already is dropped in favour of the owner, with its first batch's and the
+present batch's rows as group_size, but rows with the owner's doc_id stay, so that a batch given again after a failure keeps its owners; an empty batch gives no rows and leaves the index as it is; rows with a
+null doc_id take part and own a digest only if no other row does; extra columns are carried and
+never read. A text is one row, however long; only its digest is shuffled, if it has copies.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looked_up, shared_dir
+from .common import dropped, kept, looked_up, shared_dir
 
 
 def digest(text: str = "text") -> F.Column:
@@ -53,21 +55,36 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
+    def drop(self) -> None:
+        """Delete the index with its files."""
+        rows = self.rows()
+        dropped(self.spark, rows)
+        self.spark.sql(f"DROP TABLE {self.name}")
 
-def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """docs with text_sha256, keep_id, group_size and kept; the index gains the batch's new digests.
 
-    The copies of a text are counted and ranked by a partial aggregate before any shuffle, so a
-    text that a third of all rows share costs one row a task.
+def _owners(rows: DataFrame, top: F.Column, index: DigestIndex) -> DataFrame:
+    """(digest, copies, keep_id, group_size, top) of the batch's digests; the index gains the new ones.
+
+    rows: (digest, doc_id, ...); top: what tells the row that stays from the others, null if the index had the digest.
     """
-    sums = docs.select("doc_id", digest().alias("digest"))
-    grouped = sums.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    total = docs.count()
-    index.add(grouped)
-    owners = index.rows()
-    kept = F.col("keep_id").eqNullSafe(F.col("doc_id"))
-    named = docs.withColumn("digest", digest())
-    return looked_up(named, owners, "digest", "group_size", total).withColumnRenamed("digest", "text_sha256").withColumn("kept", kept)
+    grouped = kept(rows.groupBy("digest").agg(F.max("doc_id").alias("best"), top.alias("top"), F.count(F.lit(1)).alias("copies")), "dedup-batch")
+    before = index.rows().select("digest", F.col("keep_id").alias("owner"), F.col("group_size").alias("held"))
+    # written before the index grows
+    found = kept(grouped.hint("merge").join(before, "digest", "left"), "dedup-owners")
+    index.add(grouped.select("digest", F.col("best").alias("keep_id"), F.col("copies").alias("group_size")))
+    dropped(index.spark, grouped)
+    new = F.col("held").isNull()
+    return found.select("digest", "copies", F.when(new, F.col("best")).otherwise(F.col("owner")).alias("keep_id"), (F.coalesce("held", F.lit(0)) + F.col("copies")).alias("group_size"), F.when(new, F.col("top")).alias("top"))
+
+
+def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of each row; the index gains the batch's new digests."""
+    named = docs.select("doc_id", digest().alias("digest")).withColumn("row", F.monotonically_increasing_id())
+    named = kept(named, "dedup-rows")  # so that rows keep their numbers
+    owners = _owners(named, F.max(F.struct("doc_id", "row")), index)
+    owners = owners.select("digest", "copies", "keep_id", "group_size", F.col("top.row").alias("top"))
+    out = looked_up(named, owners, "digest", "copies", named.count())
+    return out.select("doc_id", "keep_id", "group_size", F.when(F.col("top").isNull(), F.col("doc_id").eqNullSafe(F.col("keep_id"))).otherwise(F.col("row") == F.col("top")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
@@ -76,14 +93,26 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 
 def decisions(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256, against an empty index."""
-    out = deduplicated(docs.select("doc_id", "text"), fresh_index(docs.sparkSession))
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    index = fresh_index(docs.sparkSession)
+    out = deduplicated(docs.select("doc_id", "text"), index)
+    index.drop()
+    return out
 
 
 def unique(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one a text, with their own columns."""
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # so that no name clashes
-    return deduplicated(whole, fresh_index(docs.sparkSession)).filter("kept").select("row.*")
+    """The documents that stay, one a text, with their own columns.
+
+    Rows go to their digest's owner; those that are not it leave at once. Several rows with the owner's doc_id shrink to
+    the one with the least hash of all its columns.
+    """
+    rows = docs.select("doc_id", digest().alias("digest"), F.struct(*docs.columns).alias("row"))  # so that no name clashes
+    mark = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.xxhash64("row"))
+    index = fresh_index(docs.sparkSession)
+    owners = _owners(rows, F.max(mark), index).select("digest", "copies", "top")
+    index.drop()
+    total = owners.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    staying = lambda df: df.filter(F.col("mark").eqNullSafe(F.col("top"))).dropDuplicates(["digest"])
+    return looked_up(rows.withColumn("mark", mark), owners, "digest", "copies", total, staying).select("row.*")
 
 
 SQL = """
