@@ -7,9 +7,13 @@ that the key leaves open, which bounds a second-level key to 2**16 fingerprints,
 Within a key the links found form stars to each local component's least document, never all
 pairs. The stars are joined to components by alternating large-star and small-star steps.
 
+A node is a fingerprint; ids of documents only meet the nodes again at the end, in built-in functions.
+
 Defined results: null and empty texts and texts without words have fingerprint zero and link
 like any other; texts of under three words have one shingle, the whole sequence; equal fingerprints
-are one node; rows repeated with one doc_id get equal results; an empty table gives no rows.
+are one node; rows repeated with one doc_id get equal results; a component's id is its least doc_id that is not
+null, and null if it has none; extra columns are ignored; an empty table gives no rows. A text is handled
+in one task, with about 100 bytes of memory for each of its words.
 """
 
 from __future__ import annotations
@@ -170,19 +174,15 @@ def clustered(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -
     """doc_id, fp and component_id (the least doc_id reachable) for each row."""
     prints = kept(fingerprints(docs), "fingerprints")
     total = prints.count()
-    nodes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "simhash-nodes")
-    groups = components(links(nodes.select("node", "fp"), distance, blocks))
-    owner = nodes.join(groups.select(F.col("a").alias("node"), F.col("b").alias("least")), "node", "left")
-    owner = owner.select("fp", "copies", F.coalesce("least", "node").alias("component_id"))
+    nodes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-nodes")
+    groups = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance, blocks)).toDF("fp", "group")
+    grouped = nodes.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    # the larger groups' least ids; a group of one node has its own
+    least = grouped.join(groups.select("group").distinct(), "group", "left_semi").groupBy("group").agg(F.min("least").alias("component_id"))
+    owner = kept(grouped.join(least, "group", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")), "simhash-owners")
     return looked_up(prints, owner, "fp", "copies", total).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return clustered(docs).select("doc_id", hexed, "component_id")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the least doc_id."""
-    best = clustered(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"])
