@@ -7,7 +7,8 @@ that the assistant wrote. Conversations are paired by a table or, in the query,
 Defined results: a null role or text counts as empty; turns stand in the order of their number,
 ties by role and text; equal conversations have the whole as prompt and two empty completions; a
 conversation without a partner gives no pair; rows with a null conv_id are left out; an empty table
-gives no rows; extra columns are ignored. A pair is one output row, so it is handled as one.
+gives no rows; extra columns are ignored; a repeated row is a turn of its own, and a null turn number stands first. A pair is one output row, so it is
+handled as one, with its whole texts.
 """
 
 from __future__ import annotations

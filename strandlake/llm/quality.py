@@ -6,7 +6,8 @@ counts, for each rule of a policy, the documents that fail it and those that fai
 
 Defined results: a null text counts as empty, has measurements 0 and fails too_few_words; ties
 and repeated rows are measured row by row; an empty table gives an empty ledger; the ledger carries
-no other column of the input, so names cannot clash.
+no other column of the input, so names cannot clash. A text is measured whole in one task, which holds its five-word
+windows (about six times the text) while it does; rows of one null or repeated doc_id stay rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ table is full, so slots are dealt evenly, and a shard that joins or leaves moves
 A row's slot is its key's hash modulo the table size; the table, of fixed size, is broadcast.
 
 Defined results: a null key has a slot like any other value; equal keys share a shard; an empty
-table gives no rows; all columns of the input stay, and one named slot or shard is replaced.
+table gives no rows; all columns of the input stay, and one named slot or shard is replaced; repeated rows stay rows. Texts, of
+any length, are not read but for n_chars in the report.
 """
 
 from __future__ import annotations

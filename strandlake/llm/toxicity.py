@@ -7,8 +7,9 @@ whole-array work on the bytes of a batch. Scores see the text only.
 
 Defined results: null and empty texts have no features and score by the bias alone; rows with
 a null doc_id are never trained on; without labelled training rows the score is 0; a label given
-several times counts as toxic if any says so; repeated documents score alike; extra columns are
-ignored.
+several times counts as toxic if any says so; repeated documents score alike; a score of exactly 0.7 counts as toxic; the
+sample's ties in the hash go by doc_id; accepted() carries extra columns and may clash with no name but _toxicity, report() ignores them; an empty
+table gives no rows. A text is scored whole in one task, with about 120 bytes of memory for each of its words.
 """
 
 from __future__ import annotations

@@ -97,3 +97,15 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, cap=2):
         mid = (low + high) / 2
         low, high = (mid, high) if sum(min(mid * w[n], cap * sizes[n]) for n in names) < share * sum(sizes.values()) else (low, mid)
     return {n: min(high * w[n], cap * sizes[n]) for n in names}
+
+
+def taken(docs, block_order, weights=(3, 1, 2)):
+    """Words that the mix takes of each document of (doc_id, size, source): passes over its source in the order, as far as the target goes."""
+    sizes, first, out = {}, {}, {}
+    for i, size, source in sorted(docs, key=lambda d: block_order(d[0])):
+        first[i] = sizes.get(source, 0)
+        sizes[source] = first[i] + size
+    goals = {s: int(x + 1e-6) for s, x in targets(sizes, weights).items()}
+    for i, size, source in docs:
+        out[i] = sum(max(0, min(first[i] + size, goals[source] - e * sizes[source]) - first[i]) for e in (0, 1))
+    return out
