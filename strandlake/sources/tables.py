@@ -19,9 +19,12 @@ def _refuse(bad: DataFrame, why: str) -> None:
         raise TableError(f"{why}: {rows[0].asDict()}")
 
 
-def table(spark: SparkSession, path: str, needed: list[str], key: list[str] | None = None) -> DataFrame:
-    """A delimited file with a header; null is empty. Values of `key` must not repeat."""
-    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, nullValue="", emptyValue="")
+def table(spark: SparkSession, path: str, needed: list[str], key: list[str] | None = None, breaks: bool = False) -> DataFrame:
+    """A delimited file with a header; null is empty. Values of `key` must not repeat.
+
+    breaks: quoted values may hold line breaks; such a file is read by one task, others are split.
+    """
+    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=breaks, nullValue="", emptyValue="")
     if missing := set(needed) - set(df.columns):
         raise TableError(f"{path} lacks {sorted(missing)}")
     if key:
