@@ -2,61 +2,60 @@
 
 Each source's documents stand in a shuffled order (by a hash of doc_id) and are cut into
 blocks of equally many words. Slot i of the schedule takes the point frac((i + 1) * phi) and the
-source whose stretch of the cumulative weights holds it; the k-th slot of a source takes its
+source whose stretch of the cumulative targets holds it; the k-th slot of a source takes its
 k-th block, starting over after the last one, until the source's target is met; the last block
-is cut there. A document's taken words are those of its overlap with the blocks taken.
+is cut there. The schedule has a slot for each block asked for; a source that the points leave short of its blocks
+(a tiny one may be missed by all) gets the missing slots after the others. A document's taken words are those
+of its overlap with the blocks taken.
 
 Targets: each source may give `repeats` times its words; what a source would get beyond that
-is shared out again by weight among the others.
+is shared out again by weight among the others. Sources are a table throughout; there may be any number.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; a null source is a
-source of its own, after all others; equal rows share their place in an order that rowids break
-and get results that differ by one block's cut at most; an empty table gives no rows.
+source of its own, after all others; a target is met to the word, rounded down; equal rows share their place in an order
+that row numbers break and get results that differ by one block's cut at most; null doc_ids are rows like others; a very long
+text is one row in as many blocks as it covers; extra columns are ignored by mixed() and carried by mixture(); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, kept
+from .common import WORD, dropped, kept, looked_up
 
 PHI = 0.6180339887498949
 BLOCK_WORDS = 1024
-#: Parts of a source's order and of the schedule that are ranked on their own; then their totals are summed up.
-ORDER_PARTS, SLOT_PART = 4096, 1 << 16
-#: The unit interval is cut into so many cells to find the source of a point by equality.
+#: Parts of a source's order, and lengths of stretches of the schedule and of the sources, that are ranked on their own; then their totals are summed up.
+ORDER_PARTS, SLOT_PART, SOURCE_PART = 4096, 1 << 16, 1 << 16
+#: All words to take are cut into so many cells at least to find the source of a point by equality.
 CELLS = 4096
-#: Sources with their weights are held by the driver; more than this many is an error, not a cut.
-MAX_SOURCES = 100_000
-
-
-@dataclass(frozen=True)
-class Source:
-    name: str | None
-    size: int
-    weight: float
-    target: float
-
-
-def weighed(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: float = 2) -> list[Source]:
-    """Targets by water-filling; names in code-point order, null last; the weights repeat."""
-    names = sorted((n for n in sizes if n is not None)) + [None] * (None in sizes)
-    weight = {n: weights[k % len(weights)] for k, n in enumerate(names)}
-    target, free, left = {}, list(names), share * sum(sizes.values())
-    while free:
-        total = sum(weight[n] for n in free)
-        over = [n for n in free if left * weight[n] / total > repeats * sizes[n]]
-        if not over:
-            target |= {n: left * weight[n] / total for n in free}
+
+
+def weighed(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: float = 2) -> DataFrame:
+    """sizes: (source, size, ...) with target, and source_no in code-point order, null last; the weights repeat.
+
+    Water-filling: the level is what a unit of weight gets; it rises until no further source is filled up.
+    """
+    spark = sizes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sizes.repartitionByRange(parts, F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    # the number within a partition, and the partition's
+    ranged = kept(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "mix-sources")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))  # a row a partition
+    numbered = ranged.join(F.broadcast(offsets), "_part").withColumn("source_no", F.col("_first") + F.col("_at")).drop("_part", "_first", "_at")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    rows = kept(numbered.withColumn("weight", weight), "mix-weights")
+    dropped(spark, ranged)
+    cap, level, filled, seen = F.col("size") * float(repeats), 0.0, F.lit(False), -1
+    while True:
+        total, done, words, weighing = rows.agg(F.sum("size"), F.count(F.when(filled, 1)), F.sum(F.when(filled, cap)), F.sum(F.when(~filled, F.col("weight")))).first()
+        if done == seen or not weighing:
             break
-        for n in over:
-            target[n] = float(repeats * sizes[n])
-        left -= sum(target[n] for n in over)
-        free = [n for n in free if n not in target]
-    return [Source(n, sizes[n], weight[n], target[n]) for n in names]
+        level, seen = (share * (total or 0) - (words or 0.0)) / weighing, done
+        filled = cap < F.col("weight") * level
+    return rows.withColumn("target", F.when(filled, cap).otherwise(F.col("weight") * level))
 
 
 def _below(df: DataFrame, keys: list[str], part: str, what: F.Column, name: str) -> DataFrame:
@@ -66,36 +65,42 @@ def _below(df: DataFrame, keys: list[str], part: str, what: F.Column, name: str)
     return sums.select(*keys, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias(name))
 
 
-def schedule(spark, sources: list[Source], block: int) -> DataFrame:
-    """(source_no, block_no, take_0, take_1): words taken from the block's start, in the first and second pass."""
-    parts = [(k, s) for k, s in enumerate(sources) if s.target >= 1]
-    if not parts:
-        return spark.createDataFrame([], "source_no int, block_no bigint, take_0 bigint, take_1 bigint")
-    total = sum(s.target for _, s in parts)
-    least = min(s.target for _, s in parts) / total
-    slots = int(total // block * 1.01 + 64 + (8 + 2 * len(parts)) / least)
-    rows, low = [], 0.0
-    for k, s in parts:
-        high = low + s.target / total
-        rows.append((k, low, high if k != parts[-1][0] else 2.0, s.size, int(s.target), -(-s.size // block)))
-        low = high
-    table = spark.createDataFrame(rows, "source_no int, low double, high double, words bigint, goal bigint, n_blocks bigint")
-    cells = F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.least("high", F.lit(1.0)) * CELLS))
-    table = F.broadcast(table.withColumn("cell", F.explode(cells)))
+def schedule(sources: DataFrame, block: int) -> DataFrame:
+    """(source_no, block_no, take_0, take_1): words taken from the block's start, in the first and second pass.
+
+    sources: (source_no, size, target).
+    """
+    spark, long = sources.sparkSession, lambda x: x.cast("long")
+    asked = sources.select("source_no", F.col("size").alias("words"), long(F.floor("target")).alias("goal")).filter("goal > 0")
+    asked = asked.withColumn("n_blocks", long(F.ceil(F.col("words") / block)))
+    need = long(F.floor(F.col("goal") / F.col("words"))) * F.col("n_blocks") + long(F.ceil(F.col("goal") % F.col("words") / block))
+    asked = asked.withColumns({"need": need, "part": long(F.floor(F.col("source_no") / SOURCE_PART)), "all": F.lit(0)})
+    total, needed, count = asked.agg(F.coalesce(F.sum("goal"), F.lit(0)), F.coalesce(F.sum("need"), F.lit(0)), F.count(F.lit(1))).first()
+    if not total:
+        return spark.createDataFrame([], "source_no bigint, block_no bigint, take_0 bigint, take_1 bigint")
+    earlier = Window.partitionBy("part").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    table = asked.join(_below(asked, ["all"], "part", F.sum("goal"), "low"), ["all", "part"])
+    table = table.withColumn("low", F.col("low") + F.coalesce(F.sum("goal").over(earlier), F.lit(0))).withColumn("high", F.col("low") + F.col("goal"))
+    width = -(-total // max(CELLS, 4 * count))
+    cells = table.select("source_no", "low", "high", F.explode(F.sequence(long(F.floor(F.col("low") / width)), long(F.floor((F.col("high") - 1) / width)))).alias("cell"))
     point = F.col("id") + 1
     # in two steps, so that the fraction keeps its bits when the slot number is large
     coarse, fine = F.floor(point / 65536), point % 65536
     frac = (coarse * ((PHI * 65536) % 1.0)) % 1.0 + fine * F.lit(PHI)
-    drawn = spark.range(slots).select("id", (frac % 1.0).alias("point"), F.floor(F.col("id") / SLOT_PART).alias("part"))
-    drawn = drawn.withColumn("cell", F.floor(F.col("point") * CELLS)).join(table, "cell")
-    drawn = drawn.filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    place = F.least(long(F.floor((frac % 1.0) * total)), F.lit(total - 1))
+    drawn = spark.range(needed + needed // 100 + 64).select("id", place.alias("place"), long(F.floor(F.col("id") / SLOT_PART)).alias("part"))
+    drawn = drawn.withColumn("cell", long(F.floor(F.col("place") / width))).join(cells, "cell").filter("place >= low AND place < high").select("id", "part", "source_no")
     below = _below(drawn, ["source_no"], "part", F.count(F.lit(1)), "before")
     within = Window.partitionBy("source_no", "part").orderBy("id")
-    ranked = drawn.join(below, ["source_no", "part"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
-    epoch, at = F.floor(F.col("rank") / F.col("n_blocks")), F.col("rank") % F.col("n_blocks")
+    ranked = drawn.join(below, ["source_no", "part"]).select("source_no", (F.col("before") + F.row_number().over(within) - 1).alias("rank"))
+    have = drawn.groupBy("source_no").agg(F.count(F.lit(1)).alias("have"))
+    short = asked.join(have, "source_no", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < need")
+    ranked = ranked.unionByName(short.select("source_no", F.expr("explode(sequence(have, need - 1))").alias("rank")))
+    ranked = ranked.join(asked.drop("part", "all"), "source_no").filter("rank < need")
+    epoch, at = long(F.floor(F.col("rank") / F.col("n_blocks"))), F.col("rank") % F.col("n_blocks")
     length = F.least(F.lit(block).cast("long"), F.col("words") - at * block)
-    take = F.greatest(F.lit(0).cast("long"), F.least(length, F.col("goal") - epoch * F.col("words") - at * block))
-    ranked = ranked.select("source_no", at.alias("block_no"), epoch.alias("epoch"), take.alias("take")).filter("take > 0")
+    take = F.least(length, F.col("goal") - epoch * F.col("words") - at * block)
+    ranked = ranked.select("source_no", at.alias("block_no"), epoch.alias("epoch"), take.alias("take"))
     return ranked.groupBy("source_no", "block_no").agg(
         *[F.coalesce(F.max(F.when(F.col("epoch") == e, F.col("take"))), F.lit(0)).cast("long").alias(f"take_{e}") for e in (0, 1)]
     )
@@ -103,19 +108,19 @@ def schedule(spark, sources: list[Source], block: int) -> DataFrame:
 
 def mixed(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, block: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, size, source_size, target and taken for each row of docs, with its row number `rid`."""
-    spark = docs.sparkSession
+    return _mixed(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("rid")), weights, share, block)
+
+
+def _mixed(docs: DataFrame, weights, share: float, block: int) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"))
-    sized = kept(sized.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    sources = weighed({r["source"]: r["size"] for r in found}, weights, share)
-    rows = [(k, s.name, s.size, s.target) for k, s in enumerate(sources)]
-    table = F.broadcast(spark.createDataFrame(rows, "source_no int, name string, source_size bigint, target double"))
+    sized = docs.select("doc_id", "source", "rid", size.alias("size"))
+    sized = kept(sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("none"))), "mix-sizes")
+    sums = sized.groupBy("skey", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_rows"))
+    sources = kept(weighed(sums, weights, share), "mix-targets")
+    table = sources.select("skey", "source_no", F.col("size").alias("source_size"), "target", "n_rows")
     key = F.xxhash64("doc_id")
     part = F.shiftrightunsigned(key, 64 - ORDER_PARTS.bit_length() + 1).cast("int")
-    placed = sized.join(table, F.col("source").eqNullSafe(F.col("name"))).withColumns({"key": F.shiftrightunsigned(key, 1), "part": part})
+    placed = looked_up(sized.drop("source"), table, "skey", "n_rows", sized.count()).withColumns({"key": F.shiftrightunsigned(key, 1), "part": part})
     below = _below(placed, ["source_no"], "part", F.sum("size"), "base")
     before = Window.partitionBy("source_no", "part").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.join(below, ["source_no", "part"])
@@ -124,7 +129,7 @@ def mixed(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, block: int = B
     spans = placed.filter("size > 0").withColumn(
         "block_no", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block)))
     )
-    takes = schedule(spark, sources, block)
+    takes = schedule(sources, block)
     start = F.greatest(F.col("first"), F.col("block_no") * block)
     stop = F.least(F.col("first") + F.col("size"), (F.col("block_no") + 1) * block)
     overlap = [F.greatest(F.lit(0).cast("long"), F.least(stop, F.col("block_no") * block + F.col(f"take_{e}")) - start) for e in (0, 1)]
@@ -136,9 +141,8 @@ def mixed(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, block: int = B
 def mixture(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5) -> DataFrame:
     """The mix as documents: each row as often as its taken words come nearest to (0, 1 or 2 times)."""
     docs = kept(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-input")
-    # rows are told apart by _row here; doc_id may repeat
-    keyed = docs.select(F.col("_row").alias("doc_id"), "source", "text")
     times = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int")
-    counts = mixed(keyed, weights, share).filter("size > 0").select(F.col("doc_id").alias("_row"), times.alias("_times")).filter("_times > 0")
+    out = _mixed(docs.select("doc_id", "source", "text", F.col("_row").alias("rid")), weights, share, BLOCK_WORDS)
+    counts = out.filter("size > 0").select(F.col("rid").alias("_row"), times.alias("_times")).filter("_times > 0")
     columns = [c for c in docs.columns if c != "_row"]
     return docs.join(counts, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
