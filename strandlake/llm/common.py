@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 from functools import cache
@@ -67,8 +68,10 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Between large phases: without references to finished shuffles Spark deletes their files from the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first frees Python's references, the second what the JVM held for them; the cleaner then needs a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @contextmanager
