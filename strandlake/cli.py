@@ -1,4 +1,4 @@
-"""The commands from a shell: results as JSON on standard output, errors on standard error with exit code 2."""
+"""The commands from a shell: results as JSON on standard output; exit code 1 if validate finds issues, 2 and a line on standard error for errors."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import sys
 
 from pyspark.errors import PySparkException
 from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandlake.operators import plots
 from strandlake.operators.commands import Commands
@@ -68,16 +70,13 @@ def run(args: argparse.Namespace, c: Commands):
         c.export(args.catalog)
         return {"catalog": args.catalog, **c.summary()}
     if args.command == "validate":
-        found = {r.problem: r.n for r in c.validate().collect()}  # a row a kind of problem
-        if found:
-            raise ValueError(f"the registry has problems: {found}")
-        return {"valid": True}
+        issues = [f"{r.problem}: {r.n}" for r in c.validate().orderBy("problem").collect()]  # a row a kind of problem
+        return {"valid": not issues, "issues": issues, "summary": c.summary()}
     if args.command == "inspect":
-        # one identifier's rows; a common one is cut off visibly
-        found = {name: [json.loads(x) for x in df.limit(1001).toJSON().collect()] for name, df in c.inspect(args.identifier).items()}
-        if not any(found.values()):
+        found = c.inspect(args.identifier)
+        if not any(df.head(1) for df in found.values()):
             raise ValueError(f"nothing is named {args.identifier}")
-        return {"identifier": args.identifier, "more": any(len(v) > 1000 for v in found.values()), **{k: v[:1000] for k, v in found.items()}}
+        return {"identifier": args.identifier, **found}
     if args.gene:
         plots.gene(c, args.gene, args.output)
     else:
@@ -85,16 +84,34 @@ def run(args: argparse.Namespace, c: Commands):
     return {"plot": args.output}
 
 
+def write_json(found, out) -> None:
+    """Values as JSON; the rows of a DataFrame are a list, written a partition at a time, however many there are."""
+    if not isinstance(found, dict) or not any(isinstance(v, DataFrame) for v in found.values()):
+        json.dump(found, out, indent=2, sort_keys=True, ensure_ascii=False, default=str)
+        out.write("\n")
+        return
+    for k, (name, value) in enumerate(sorted(found.items())):
+        out.write(f"{',' if k else '{'}\n  {json.dumps(name)}: ")
+        if not isinstance(value, DataFrame):
+            out.write(json.dumps(value, ensure_ascii=False))
+            continue
+        between = "["
+        for row in value.select(F.to_json(F.struct("*")).alias("row")).toLocalIterator():
+            out.write(f"{between}\n    {row.row}")
+            between = ","
+        out.write("[]" if between == "[" else "\n  ]")
+    out.write("\n}\n")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         found = run(args, Commands(local_session(), args.db))
+        write_json(found, sys.stdout)
     except (ValueError, OSError, PySparkException, Py4JJavaError) as e:
         print(f"strandlake: error: {str(e).splitlines()[0]}", file=sys.stderr)
         return 2
-    json.dump(found, sys.stdout, indent=2, sort_keys=True, ensure_ascii=False, default=str)
-    print()
-    return 0
+    return 1 if args.command == "validate" and not found["valid"] else 0
 
 
 if __name__ == "__main__":

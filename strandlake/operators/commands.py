@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import structure, text
+from strandlake.session import released, stored
 from strandlake.sinks import files
 from strandlake.sources import annotation, tables
 
@@ -125,18 +126,18 @@ class Commands:
             return {"import_id": import_id, "created": False, "transcripts": row[0].transcripts}
         if not self._needed("annotation_context").filter(F.col("name") == annotation_name).head(1):
             raise RegistryError(f"no annotation {annotation_name}")
-        models = self._stored_models(path, fmt).persist()
+        models = stored(self._stored_models(path, fmt), "import-models")
         reference = self._needed("reference_transcript").filter(F.col("annotation_name") == annotation_name)
         rows = classify.classified(models.withColumn("query_id", F.col("transcript_id")), reference).drop("query_id")
         rows = numbered(rows, [F.col("contig"), F.floor(F.col("start") / RANGE)], ORDER, "ordinal")
-        rows = rows.withColumn("gene_candidates", F.array_join("gene_candidates", ",")).persist()  # numbers that a later step must not see change
+        rows = stored(rows.withColumn("gene_candidates", F.array_join("gene_candidates", ",")), "import-rows")  # numbers that a later step must not see change
         rows, loci = self._located(rows, import_id)
         n = models.count()
         manifest = self._row("import_id string, annotation_name string, sample string, tool string, input_checksum string, input string, transcripts bigint, created_utc string", import_id, annotation_name, sample, tool, checksum, path, n, _now())
-        stored = rows.withColumns({"import_id": F.lit(import_id), "annotation_name": F.lit(annotation_name), "sample": F.lit(sample), "tool": F.lit(tool)})
+        told = rows.withColumns({"import_id": F.lit(import_id), "annotation_name": F.lit(annotation_name), "sample": F.lit(sample), "tool": F.lit(tool)})
         cols = ["import_id", "ordinal", "annotation_name", "sample", "tool", "transcript_id", "gene_id", "contig", "strand", "start", "end", "exons", "source", "attributes", "form_id", "chain_id", "label", "output_gene_id", "output_transcript_id", "gene_candidates", "locus"]
-        self.registry.commit({"import_manifest": manifest, "structural_object": self.registry.new_structures(models), "observation": stored.select(*cols), "locus": loci})
-        models.unpersist()
+        self.registry.commit({"import_manifest": manifest, "structural_object": self.registry.new_structures(models), "observation": told.select(*cols), "locus": loci})
+        released(self.spark, models, rows)
         return {"import_id": import_id, "created": True, "transcripts": n}
 
     def _located(self, rows: DataFrame, import_id: str) -> tuple[DataFrame, DataFrame]:

@@ -7,8 +7,11 @@ number. Readers take the greatest number, so they see the old state or the new o
 from __future__ import annotations
 
 import json
+import os
+import socket
 import uuid
 from contextlib import contextmanager
+from datetime import datetime, timezone
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -123,6 +126,17 @@ class Registry:
         if not self._fs.rename(staged, target):
             raise RegistryError(f"cannot write state {state['number']}")
 
+    def _holder(self, lock) -> str:
+        """Who holds the lock, and since when."""
+        try:
+            stream = self._fs.open(lock)
+        except Py4JJavaError:
+            return "it has just ended"
+        try:
+            return self._text(stream) or "it has just begun"
+        finally:
+            stream.close()
+
     @contextmanager
     def writing(self):
         """Hold the writer's lock; a command holds it from its first read to its last commit."""
@@ -131,9 +145,11 @@ class Registry:
             return
         lock = self._hpath(f"{self.path}/writer.lock")
         try:
-            self._fs.create(lock, False).close()
+            out = self._fs.create(lock, False)
         except Py4JJavaError as e:
-            raise RegistryError(f"another writer is at work, or one was lost: then delete {self.path}/writer.lock") from e
+            raise RegistryError(f"another writer is at work: {self._holder(lock)}; if it was lost, delete {self.path}/writer.lock") from e
+        out.write(bytearray(f"{socket.gethostname()}, process {os.getpid()}, since {datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}".encode()))
+        out.close()
         self._held = True
         try:
             yield

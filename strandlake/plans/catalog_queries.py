@@ -117,15 +117,13 @@ def _forms(spark, d):
     return t.transcripts(spark, d).select("form_id", F.col("form.family").alias("family"), F.lit(t.ASSEMBLY).alias("assembly"), "contig", "strand", stateful.coordinates().alias("coordinates"))
 
 
-@query("SELECT a.form_id AS a, b.form_id AS b FROM (SELECT DISTINCT form_id, contig, strand, tx_start, tx_end FROM tx WHERE exon_count = 1) a JOIN (SELECT DISTINCT form_id, contig, strand, tx_start, tx_end FROM tx WHERE exon_count = 1) b ON a.contig = b.contig AND a.strand = b.strand AND a.form_id < b.form_id AND abs(a.tx_start - b.tx_start) <= 400 AND abs(a.tx_end - b.tx_end) <= 400")
-def compatible_forms(spark, d):
-    """A part of D4: forms of one exon; compatible_forms_all has them all."""
-    return stateful.compatible_pairs(_forms(spark, d).filter("family = 'SE1'").dropDuplicates(["form_id"]), 100, 400)
-
-
-@query()
+@query(
+    ", f AS (SELECT DISTINCT form_id, contig, strand, exon_count, CASE WHEN exon_count = 1 THEN [tx_start, tx_end] ELSE [tss, tes] || list_transform(regexp_extract_all(gaps, '[0-9]+'), lambda v: v::BIGINT) END AS x FROM tx), "
+    "g AS (SELECT *, x[1] // 401 AS bucket FROM f), h AS (SELECT * EXCLUDE (bucket), unnest([bucket - 1, bucket, bucket + 1]) AS bucket FROM g) "
+    "SELECT a.form_id AS a, b.form_id AS b FROM h a JOIN g b USING (contig, strand, exon_count, bucket) WHERE a.form_id < b.form_id AND list_bool_and(list_transform(range(1, len(a.x) + 1), lambda i: abs(a.x[i] - b.x[i]) <= CASE WHEN i <= 2 THEN 400 ELSE 100 END))"
+)
 def compatible_forms_all(spark, d):
-    """D4, over all forms; tested against all pairs."""
+    """D4, over all forms of any number of exons."""
     return stateful.compatible_pairs(_forms(spark, d).dropDuplicates(["form_id"]), 100, 400)
 
 
@@ -157,13 +155,6 @@ def changed_relations(spark, d):
     return metrics.changed_relations(e, "event_type", "b")
 
 
-@query("SELECT e AS expected, j AS joined, c AS correct, CASE WHEN j > 0 THEN 1 - c / j END AS false_merge_rate, CASE WHEN e > 0 THEN 1 - c / e END AS false_split_rate FROM (SELECT (SELECT count(*) FROM obs a JOIN obs b USING (chain_id) WHERE a.k % 2 = 0 AND b.k % 4 = 0 AND b.query_id LIKE 'q%') AS e, (SELECT count(*) FROM obs a JOIN obs b USING (form_id) WHERE a.k % 2 = 0 AND b.k % 4 = 0 AND b.query_id LIKE 'q%') AS j, (SELECT count(*) FROM obs a JOIN obs b USING (form_id, chain_id) WHERE a.k % 2 = 0 AND b.k % 4 = 0 AND b.query_id LIKE 'q%') AS c)")
-def cross_caller_pairs(spark, d):
-    """A part of E17: observations chosen by number; tool_pairs compares two tools."""
-    o = t.observed(spark, d)
-    return metrics.cross_pairs(o.filter("k % 2 = 0"), o.filter("k % 4 = 0 AND query_id LIKE 'q%'"), "chain_id", "form_id")
-
-
 @query("SELECT e AS expected, j AS joined, c AS correct, CASE WHEN j > 0 THEN 1 - c / j END AS false_merge_rate, CASE WHEN e > 0 THEN 1 - c / e END AS false_split_rate FROM (SELECT (SELECT count(*) FROM obs a JOIN obs b USING (chain_id) WHERE a.tool = '1-URGENT' AND b.tool = '2-HIGH') AS e, (SELECT count(*) FROM obs a JOIN obs b USING (form_id) WHERE a.tool = '1-URGENT' AND b.tool = '2-HIGH') AS j, (SELECT count(*) FROM obs a JOIN obs b USING (form_id, chain_id) WHERE a.tool = '1-URGENT' AND b.tool = '2-HIGH') AS c)")
 def tool_pairs(spark, d):
     """All observations of one tool against all of another."""
@@ -274,13 +265,6 @@ def numbered_exons(spark, d):
     return x.select("transcript_id", F.col("x.start").alias("exon_start"), F.col("x.end").alias("exon_end"), F.when(F.col("strand") == "+", F.col("i") + 1).otherwise(F.col("exon_count") - F.col("i")).alias("exon_number"))
 
 
-@query("SELECT query_id, contig, sample, tool, label FROM classified WHERE form_id IN (SELECT form_id FROM tx WHERE k % 60 = 6) OR chain_id IN (SELECT form_id FROM tx WHERE k % 60 = 6) OR output_gene_id IN (SELECT form_id FROM tx WHERE k % 60 = 6)")
-def inspect_ids(spark, d):
-    """The inspect command for a list of ids over form, chain and output columns."""
-    ids = t.transcripts(spark, d).filter("k % 60 = 6").select(F.col("form_id").alias("id"))
-    return registry.inspected(_classified(spark, d), ids, ["form_id", "chain_id", "output_gene_id"], "query_id").select("query_id", "contig", "sample", "tool", "label")
-
-
 @query("SELECT query_id, contig, sample, tool, label FROM classified WHERE form_id IN (SELECT form_id FROM ref) OR chain_id IN (SELECT form_id FROM ref) OR output_gene_id IN (SELECT form_id FROM ref)")
 def inspect_reference_ids(spark, d):
     """The inspect command for the ids of all reference forms."""

@@ -12,7 +12,7 @@ from strandlake.functions import export, text
 from strandlake.operators import registry
 from strandlake.session import work_dir
 from strandlake.sinks import files
-from strandlake.sources import annotation, tables
+from strandlake.sources import annotation, lines, tables
 
 from . import driver_tables as t
 from .catalog_queries import _classified, query
@@ -80,8 +80,8 @@ def selected_sequences(spark, d):
 def contig_aliases(spark, d):
     """Aliases with a header, a comment and a repeated line."""
     s = _read(spark, d, "supplier").withColumn("name", F.concat(F.lit("s"), "s_suppkey"))
-    lines = s.select("name", F.explode(F.array(F.concat(F.lit("S-"), "s_suppkey"), F.col("s_name"), F.col("s_name"))).alias("alias"))
-    path = written(lines, ["name", "alias"], "aliases.tsv", F.concat_ws("\t", "alias", "name"), "alias\tprimary\n# a comment")
+    rows = s.select("name", F.explode(F.array(F.concat(F.lit("S-"), "s_suppkey"), F.col("s_name"), F.col("s_name"))).alias("alias"))
+    path = written(rows, ["name", "alias"], "aliases.tsv", F.concat_ws("\t", "alias", "name"), "alias\tprimary\n# a comment")
     return annotation.aliases(spark, path, s.select("name"))
 
 
@@ -202,8 +202,8 @@ def identity_view(spark, d):
 
 @query("SELECT contig, feature, count(*) AS n FROM (SELECT contig, 'transcript' AS feature FROM tx UNION ALL SELECT contig, 'exon' FROM tx JOIN ex USING (k)) GROUP BY ALL")
 def feature_counts(spark, d):
-    """Records of a file by contig and feature."""
-    return annotation.feature_counts(annotation.records(spark, _gtf(spark, d)), "contig", "feature")
+    """Records of a file by contig and feature; line_counts has all lines."""
+    return lines.feature_counts(spark, _gtf(spark, d)).filter("kind = 'record'").groupBy("contig", "feature").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------------------- tables of other tools
@@ -264,10 +264,10 @@ def read_truth(spark, d):
     """Reads with the introns of the transcript that each came from."""
     n = _read(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("truth_id"), F.concat(F.lit("chr"), "n_nationkey").alias("contig"), F.lit("+").alias("strand"), F.to_json(F.array(F.array(F.col("n_nationkey") * 100, F.col("n_nationkey") * 100 + 50))).alias("introns"))
     e = _read(spark, d, "events").select(F.concat(F.lit("r"), "event_id").alias("read_id"), F.concat(F.lit("n"), F.col("user_id") % 25).alias("truth_id"))
-    folder = folder(spark)
-    files.write_table(n, f"{folder}/truth.tsv", ["truth_id"])
-    files.write_table(e, f"{folder}/reads.tsv", ["read_id"])
-    return tables.read_truth(spark, f"{folder}/truth.tsv", f"{folder}/reads.tsv").select("read_id", "truth_id", "contig", F.col("introns")[0][0].alias("first"))
+    at = folder(spark)
+    files.write_table(n, f"{at}/truth.tsv", ["truth_id"])
+    files.write_table(e, f"{at}/reads.tsv", ["read_id"])
+    return tables.read_truth(spark, f"{at}/truth.tsv", f"{at}/reads.tsv").select("read_id", "truth_id", "contig", F.col("introns")[0][0].alias("first"))
 
 
 def _sqlite(spark, d) -> str:
@@ -329,8 +329,8 @@ def json_document(spark, d):
     """The lines of a JSON document with sorted keys."""
     path = f"{folder(spark)}/x.json"
     files.write_json(spark, path, {r.n_name: r.n_nationkey for r in _read(spark, d, "nation").collect()})  # 25 rows at any scale
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), "value")
-    return lines.select((F.col("i") + 1).alias("at"), "value")
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), "value")
+    return rows.select((F.col("i") + 1).alias("at"), "value")
 
 
 @query("SELECT n AS at, line AS value FROM (SELECT row_number() OVER (ORDER BY part, k) AS n, line FROM (SELECT 0 AS part, n_nationkey AS k, n_name AS line FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region))", plain=True)
@@ -340,8 +340,8 @@ def concatenated_lines(spark, d):
     b, out = f"{folder(spark)}/b.gtf", f"{folder(spark)}/all.gtf"
     files.write_text(spark, b, "\n".join(r.r_name for r in _read(spark, d, "region").orderBy("r_regionkey").collect()))  # without a last line break
     files.write_concatenated(spark, [a, b], out)
-    lines = spark.read.text(out).select(F.monotonically_increasing_id().alias("i"), "value")
-    return lines.select((F.col("i") + 1).alias("at"), "value")
+    rows = spark.read.text(out).select(F.monotonically_increasing_id().alias("i"), "value")
+    return rows.select((F.col("i") + 1).alias("at"), "value")
 
 
 @query("SELECT transcript_id, concat_ws(chr(9), transcript_id, CASE WHEN strand = '-' THEN 16 ELSE 0 END, contig, tx_start, 60, (SELECT string_agg(CASE WHEN prev IS NOT NULL THEN (s - prev - 1) || 'N' ELSE '' END || (e - s + 1) || 'M', '' ORDER BY s) FROM (SELECT s, e, lag(e) OVER (ORDER BY s) AS prev FROM ex WHERE ex.k = tx.k)), '*', 0, 0, repeat('A', exon_bases::BIGINT), '*') AS line FROM tx")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import export, structure
-from strandlake.operators import classify, metrics, plots, registry, simulate
+from strandlake.operators import classify, metrics, plots, registry
 from strandlake.operators.commands import ORDER, RANGE
 from strandlake.sources import annotation
 
@@ -126,14 +126,6 @@ def perturbed_models(spark, d):
     return out.select("transcript_id", F.col("start").alias("tx_start"), F.col("end").alias("tx_end"), F.expr("exons[0].end").alias("first_end"))
 
 
-@query("SELECT CASE WHEN i % 10 = 7 THEN 'new_locus' WHEN i % 10 = 9 THEN 'ambiguous_gene' WHEN i % 10 IN (5, 6) THEN 'novel_in_known_gene' ELSE 'known' END AS label, count(*) AS n FROM range(1200) r(i) GROUP BY label", plain=True)
-def simulated_labels(spark, d):
-    """2-M, D22: simulated transcripts get the label that they were made for."""
-    shaped = lambda df: structure.with_identity(structure.with_shape(df), t.ASSEMBLY).withColumn("form_id", F.col("form.public_id"))
-    q = shaped(simulate.truth(spark, 1200).drop("label", "gene_id").withColumn("transcript_id", F.col("truth_id"))).withColumn("query_id", F.col("truth_id"))
-    return classify.classified(q, shaped(simulate.reference(spark, 1200))).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
 def bootstrap_intervals(spark, d):
     """Intervals from aggregated strata; the draws are seeded, so reruns agree."""

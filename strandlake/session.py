@@ -29,6 +29,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    jvm, conf, top = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), work_dir(spark)
+    plain = lambda p: p.split(":", 1)[-1].lstrip("/")
+    for folder in {f.rpartition("/")[0] for df in frames for f in df.inputFiles()}:
+        if plain(folder).startswith(plain(top)):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")

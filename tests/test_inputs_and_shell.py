@@ -43,7 +43,7 @@ def test_registry_lock_and_names(spark, tmp_path):
     assert r.imported({"sample": "é\"", "tool": "t"}, rows) and not r.imported({"sample": "é\"", "tool": "t"}, rows)
     assert r.table("observation").count() == 1 and not (tmp_path / "reg" / "writer.lock").exists()
     other = registry.Registry(spark, str(tmp_path / "reg"))
-    with r.writing(), pytest.raises(registry.RegistryError):
+    with r.writing(), pytest.raises(registry.RegistryError, match="process [0-9]+, since 2"):
         other.commit({"observation": r.table("observation")})
     r.commit({"observation": r.table("observation")})
     assert other.table("observation").count() == 2
@@ -114,7 +114,7 @@ def test_shell(spark, tmp_path, capsys):
     def run(*args):
         code = cli.main([args[0], db, *args[1:]])
         out, err = capsys.readouterr()
-        return code, json.loads(out) if code == 0 else err
+        return code, json.loads(out) if code < 2 else err
 
     assert run("init", f"--fasta={p}/r.fa", "--assembly=asm", f"--annotation={p}/r.gtf", "--annotation-name=v1")[1]["assembly"] == "asm"
     code, err = run("init", f"--fasta={p}/r.fa", "--assembly=asm", f"--annotation={p}/r.gtf", "--annotation-name=v1")
@@ -123,9 +123,14 @@ def test_shell(spark, tmp_path, capsys):
     assert [run(*add)[1]["created"] for _ in range(2)] == [True, False]
     assert run(*add, "--fuzzy-end-tolerance=5")[0] == 2
     assert run("export", f"--catalog={p}/c.tsv")[1]["observations"] == 4
-    assert run("validate") == (0, {"valid": True})
+    valid = run("validate")
+    assert valid[0] == 0 and valid[1]["valid"] and valid[1]["issues"] == [] and valid[1]["summary"]["observations"] == 4
     assert len(run("inspect", "txid:GL1.000001")[1]["observation"]) == 2 and run("inspect", "nothing")[0] == 2
     assert run("plot", f"--output={p}/g.svg", "--gene=ALPHA")[0] == 0 and "samples s" in (tmp_path / "g.svg").read_text()
+    r = registry.Registry(spark, str(tmp_path / "reg"))
+    r.commit({}, {"contig": r.table("contig").limit(0)})
+    code, told = run("validate")
+    assert code == 1 and not told["valid"] and "reference without contig: " in told["issues"][-1]
     with pytest.raises(SystemExit) as e:
         cli.main(["add", db])
     assert e.value.code == 2
