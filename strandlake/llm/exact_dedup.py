@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, kept, looked_up, shared_dir
+from .common import columns, dropped, kept, looked_up, shared_dir
 
 
 def digest(text: str = "text") -> F.Column:
@@ -27,18 +27,52 @@ def digest(text: str = "text") -> F.Column:
 
 
 class DigestIndex:
-    """A table of (digest, keep_id, group_size) in a folder, bucketed and sorted by digest."""
+    """A table of (digest, keep_id, group_size) in a folder, bucketed and sorted by digest.
+
+    The folder holds the number of buckets, so that any session opens the index as it was made. Another number that is asked for is refused, and
+    so is a folder with data that does not tell its number.
+    """
 
     SCHEMA = "digest string, keep_id bigint, group_size bigint"
+    #: Spark does not read files whose names begin with an underscore.
+    MARK = "_buckets"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"digests_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+        self.spark, self.path = spark, path.rstrip("/")
+        held = self._held()
+        if held is not None and buckets not in (None, held):
+            raise ValueError(f"the index {self.path} has {held} buckets, not {buckets}")
+        self.buckets = held or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if held is None:
+            out = self._files().create(self._file(self.MARK), False)
+            out.write(bytearray(str(self.buckets).encode()))
+            out.close()
+        self.name = f"digests_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({self.SCHEMA}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
+        # files that another session has added since this one opened the index
+        spark.catalog.refreshTable(self.name)
+
+    def _file(self, name: str = ""):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _files(self):
+        return self._file().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _held(self) -> int | None:
+        """The number of buckets that the folder tells, None for a new one."""
+        files = self._files()
+        if files.exists(self._file(self.MARK)):
+            stream = files.open(self._file(self.MARK))
+            try:
+                return int(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        if files.exists(self._file()) and len(files.listStatus(self._file())):
+            raise ValueError(f"the folder {self.path} has files but no number of buckets")
+        return None
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -57,9 +91,8 @@ class DigestIndex:
 
     def drop(self) -> None:
         """Delete the index with its files."""
-        rows = self.rows()
-        dropped(self.spark, rows)
         self.spark.sql(f"DROP TABLE {self.name}")
+        self._files().delete(self._file(), True)
 
 
 def _owners(rows: DataFrame, top: F.Column, index: DigestIndex) -> DataFrame:
@@ -105,7 +138,7 @@ def unique(docs: DataFrame) -> DataFrame:
     Rows go to their digest's owner; those that are not it leave at once. Several rows with the owner's doc_id shrink to
     the one with the least hash of all its columns.
     """
-    rows = docs.select("doc_id", digest().alias("digest"), F.struct(*docs.columns).alias("row"))  # so that no name clashes
+    rows = docs.select("doc_id", digest().alias("digest"), F.struct(*columns(docs)).alias("row"))  # so that no name clashes
     mark = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.xxhash64("row"))
     index = fresh_index(docs.sparkSession)
     owners = _owners(rows, F.max(mark), index).select("digest", "copies", "top")

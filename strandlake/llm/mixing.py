@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, kept, looked_up
+from .common import WORD, columns, dropped, kept, looked_up
 
 PHI = 0.6180339887498949
 BLOCK_WORDS = 1024
@@ -140,9 +140,8 @@ def _mixed(docs: DataFrame, weights, share: float, block: int) -> DataFrame:
 
 def mixture(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5) -> DataFrame:
     """The mix as documents: each row as often as its taken words come nearest to (0, 1 or 2 times)."""
-    docs = kept(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-input")
+    rows = kept(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*columns(docs)).alias("row")), "mix-input")  # so that no name clashes
     times = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int")
-    out = _mixed(docs.select("doc_id", "source", "text", F.col("_row").alias("rid")), weights, share, BLOCK_WORDS)
-    counts = out.filter("size > 0").select(F.col("rid").alias("_row"), times.alias("_times")).filter("_times > 0")
-    columns = [c for c in docs.columns if c != "_row"]
-    return docs.join(counts, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    out = _mixed(rows.select("row.doc_id", "row.source", "row.text", "rid"), weights, share, BLOCK_WORDS)
+    counts = out.filter("size > 0").select("rid", times.alias("times")).filter("times > 0")
+    return rows.join(counts, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Bytes, encoded, mixed, pieces
+from .common import Bytes, columns, encoded, free, mixed, pieces
 
 BITS, SAMPLE, EPOCHS, CUT = 20, 12_000, 6, 0.7
 #: Strong L1 leaves a few hundred weights; toxic rows are few and count POSITIVE times.
@@ -131,8 +132,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "s
                 scores.append(np.zeros(len(texts)) if none else 1 / (1 + np.exp(-np.clip(z, -500, 500))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*scores, np.zeros(0)]))], names=[*b.schema.names, name])
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{columns}, `{name}` double")
+    # by plain names on the way through Python, as Spark looks columns up by name there
+    plain = docs.toDF(*[c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)])
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())])).toDF(*docs.columns, name)
 
 
 def held_out_rows() -> F.Column:
@@ -149,4 +151,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
     model = train(docs, labels, held_out_rows())
-    return scored(docs, model, "_toxicity").filter(F.col("_toxicity") < CUT).select(*docs.columns)
+    name = free(docs, "toxicity")
+    return scored(docs, model, name).filter(F.col(name) < CUT).select(*columns(docs))

@@ -15,7 +15,7 @@ from strandlake.llm.queries import VOCABULARY
 
 from . import brute
 
-NAMES = "size bigint, fp bigint, digest string, kept boolean, score double, row int, shard int, slot string, n bigint, node bigint, owner bigint, key bigint, rid bigint, top string, train boolean, toxic int, label string"
+NAMES = "size bigint, fp bigint, digest string, kept boolean, score double, row int, shard int, slot string, n bigint, node bigint, owner bigint, key bigint, rid bigint, top string, train boolean, toxic int, label string, _row int, _times int, _copy int, _toxicity double, toxicity double, `a.b` int, `a b` int, `a``b` int, row_ int, x string, often int, pos int, size_ int, times int, copy int"
 SCHEMA = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {NAMES}"
 WIDTH = len(SCHEMA.split(","))
 LONG = " ".join(f"word{k % 4001}" for k in range(150_000))
@@ -26,7 +26,7 @@ def filled(i, text):
     """A row with values in the other columns, or nulls in all of them."""
     if text is None:
         return (i, None) + (None,) * (WIDTH - 2)
-    return (i, text, "en", "s", 5, 1, 2, "d", True, 0.5, 1, 1, "x", 1, 1, 1, 1, 1, "t", False, 1, "l")
+    return (i, text, "en", "s", 5, 1, 2, "d", True, 0.5, 1, 1, "x", 1, 1, 1, 1, 1, "t", False, 1, "l", 7, 8, 9, 0.25, 0.75, 10, 11, 12, 13, "y", 14, 15, 16, 17, 18)
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,12 @@ def same(rows, wanted):
     assert Counter(map(str, map(tuple, rows))) == Counter(map(str, map(tuple, wanted)))
 
 
+def untouched(out):
+    """Columns of the input keep their values, whatever their names."""
+    rows = [r for r in out.collect() if r.text is not None]
+    assert rows and all(tuple(r) == filled(r.doc_id, r.text) for r in rows)
+
+
 def test_quality(docs):
     got = quality.report(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
     same(got, [(i, *brute.quality(t)) for i, t in TEXTS])
@@ -83,6 +89,7 @@ def test_exact_dedup(docs):
     same([(r.doc_id, r.text_sha256) for r in got.filter("kept").collect()], [(i, hashlib.sha256(t.encode()).hexdigest()) for t, i in top.items()])
     left = exact_dedup.unique(docs)
     assert left.columns == docs.columns
+    untouched(left)
     same([(r.doc_id, r.text or "") for r in left.collect()], [(i, t) for t, i in top.items()])
 
 
@@ -99,6 +106,7 @@ def test_toxicity(spark, docs):
     assert {r.score for r in toxicity.report(docs, labels.limit(0)).collect()} == {0.0}
     kept = toxicity.accepted(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
+    untouched(kept)
 
 
 def hashed(word):
@@ -192,6 +200,7 @@ def test_mixing(docs):
     assert sum(r.taken for r in got) == sum(map(int, want.values()))
     mix = mixing.mixture(docs)
     assert mix.columns == docs.columns and all(r.text for r in mix.collect())
+    untouched(mix)
 
 
 def test_chat(spark):
@@ -211,6 +220,7 @@ def test_chat(spark):
 def test_near(docs):
     left = near.representatives(docs)
     assert left.columns == docs.columns
+    untouched(left)
     # with ASCII case apart, "a b c" and "A b c" are one group, and so are null and empty texts
     assert sorted((r.doc_id, r.text or "") for r in left.collect() if r.doc_id) == sorted([(1, "a b c"), (2, ""), (5, LONG), (6, TEXTS[8][1]), (7, TEXTS[9][1])])
 
