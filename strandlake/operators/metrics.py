@@ -6,9 +6,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.session import stored
+
+from .registry import numbered
+
 
 def _pairs(df: DataFrame, *keys: str, name: str) -> DataFrame:
     return df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0)).cast("long").alias(name))
@@ -132,6 +137,84 @@ def bootstrap_ratio(strata: list[tuple[int, int]], draws: int = 1000, seed: int
     return {"estimate": sum(x for x, _ in strata) / total if total else 0.0, "low": percentile(found, tail), "high": percentile(found, 1 - tail)}
 
 
+#: Kinds of strata that a task draws at once, and replicates of a task.
+KINDS, REPLICATES = 4096, 250
+
+
+def partition_strata(df: DataFrame, by: str, other: str) -> DataFrame:
+    """(numerator, denominator) of each group of `by`: its pairs of members that `other` keeps apart, and all its pairs."""
+    cells = df.groupBy(by, other).agg(F.count(F.lit(1)).alias("n"))
+    groups = cells.groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("same"))
+    return groups.select(F.expr("n * (n - 1) div 2 - same").alias("numerator"), F.expr("n * (n - 1) div 2").alias("denominator"))
+
+
+def interval(strata: DataFrame, replicates: int = 2000, seed: int = 20260731, level: float = 0.95) -> DataFrame:
+    """One row (lower, upper, effective): the interval of sum(numerator) / sum(denominator) over strata drawn with replacement.
+
+    Equal strata are one kind with a number. A replicate draws how many strata fall to each part of KINDS kinds, from the parts' totals and a seed that hangs
+    on the replicate alone, so that all tasks agree; within a part, its kinds' numbers. Parts and replicates are spread over the
+    executors; only sums by replicate are shuffled. Replicates without a denominator do not count. Without strata, or if no numerator is above zero, the bounds are 0.
+    """
+    if replicates <= 0 or not 0 < level < 1:
+        raise ValueError("replicates must be positive and the level between 0 and 1")
+    if strata.filter("numerator < 0 OR numerator > denominator").head(1):
+        raise ValueError("strata need 0 <= numerator <= denominator")
+    spark = strata.sparkSession
+    kinds = strata.groupBy("numerator", "denominator").agg(F.count(F.lit(1)).alias("times"))
+    kinds = numbered(kinds, [F.pmod(F.xxhash64("numerator", "denominator"), F.lit(1024))], ["numerator", "denominator"], "no", -1)
+    kinds = stored(kinds.withColumn("part", F.floor(F.col("no") / KINDS)), "strata-kinds")
+    sizes = kinds.groupBy("part").agg(F.sum("times").alias("n"), F.max("numerator").alias("a"), F.max("denominator").alias("b")).orderBy("part").collect()  # a row for KINDS kinds
+    if not any(r.a for r in sizes):
+        return spark.createDataFrame([(0.0, 0.0, replicates if any(r.b for r in sizes) else 0)], "lower double, upper double, effective long")
+    parts = np.array([r.n for r in sizes], dtype=np.int64)
+
+    def drawn(key, pdf):
+        part, chunk = map(int, key)
+        pdf, out = pdf.sort_values("no"), []
+        times = pdf["times"].to_numpy()
+        a, b = pdf["numerator"].to_numpy(dtype=np.float64), pdf["denominator"].to_numpy(dtype=np.float64)
+        for r in range(chunk * REPLICATES, min(replicates, (chunk + 1) * REPLICATES)):
+            here = np.random.default_rng([seed, r]).multinomial(parts.sum(), parts / parts.sum())[part]
+            taken = np.random.default_rng([seed, r, 1 + part]).multinomial(here, times / times.sum())
+            out.append((r, float(taken @ a), float(taken @ b)))
+        return pd.DataFrame(out, columns=["r", "a", "b"])
+
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATES)))
+    sums = kinds.withColumn("chunk", chunks).groupBy("part", "chunk").applyInPandas(drawn, "r long, a double, b double").groupBy("r").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    tail = (1 - level) / 2
+    found = sums.filter("b > 0").agg(F.percentile(F.col("a") / F.col("b"), F.array(F.lit(tail), F.lit(1 - tail))).alias("p"), F.count(F.lit(1)).alias("effective"))
+    zero = F.lit(0.0)
+    return found.select(F.coalesce(F.col("p")[0], zero).alias("lower"), F.coalesce(F.col("p")[1], zero).alias("upper"), "effective")
+
+
+def read_partition(df: DataFrame, member: str, cluster: str, truth: str) -> DataFrame:
+    """One row: clusters of reads against the groups they come from. Rows without a cluster are reads that the clusters miss, and only counted.
+
+    A read that stands in several rows is refused.
+    """
+    if df.groupBy(member).count().filter("count > 1").head(1):
+        raise ValueError("a read stands in several rows")
+    asked = df.agg(F.count(F.lit(1)).alias("requested"), F.count_if(F.col(cluster).isNull()).alias("missing"))
+    df = df.filter(F.col(cluster).isNotNull())
+    cells = df.groupBy(cluster, truth).agg(F.count(F.lit(1)).alias("n"))
+
+    def side(by: str, names: tuple[str, str, str, str]) -> DataFrame:
+        groups = cells.groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("same"), F.count(F.lit(1)).alias("others"))
+        sums = [F.count(F.lit(1)), F.count_if(F.expr("others > 1")), F.sum(F.expr("n * (n - 1) div 2")), F.sum(F.expr("n * (n - 1) div 2 - same"))]
+        return groups.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(k) for c, k in zip(sums, names, strict=True)])
+
+    out = asked.join(side(cluster, ("clusters", "mixed_clusters", "cluster_pairs", "false_merges"))).join(side(truth, ("truth_groups", "split_groups", "truth_pairs", "false_splits")))  # single rows
+    out = out.withColumn("observations", F.col("requested") - F.col("missing"))
+    return out.withColumns({"false_merge_rate": ratio("false_merges", "cluster_pairs"), "false_split_rate": ratio("false_splits", "truth_pairs")})
+
+
+def read_intervals(df: DataFrame, cluster: str, truth: str, replicates: int = 2000, seed: int = 20260731) -> DataFrame:
+    """metric, lower, upper, effective: false merges with clusters drawn, false splits with truth groups drawn."""
+    df = df.filter(F.col(cluster).isNotNull())
+    merge = interval(partition_strata(df, cluster, truth), replicates, seed).withColumn("metric", F.lit("false_merge_rate"))
+    return merge.unionByName(interval(partition_strata(df, truth, cluster), replicates, seed + 1).withColumn("metric", F.lit("false_split_rate")))
+
+
 def bootstrap_discovery(hits: int, truth: int, right: int, predicted: int, draws: int = 1000, seed: int = 1, level: float = 0.95) -> dict[str, float]:
     """Intervals of precision, recall and F1 when truths and predictions are resampled; counts come from an aggregate."""
     rng, found = random.Random(seed), {"precision": [], "recall": [], "f1": []}

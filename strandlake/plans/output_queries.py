@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandlake.functions import export, structure
-from strandlake.operators import classify, metrics, plots, registry
+from strandlake.operators import categories, metrics, plots, registry
 from strandlake.operators.commands import ORDER, RANGE
-from strandlake.sources import annotation
+from strandlake.session import stored, work_dir
+from strandlake.sources import annotation, tables
 
 from . import driver_tables as t
 from .catalog_queries import _classified, query
@@ -132,3 +135,48 @@ def bootstrap_intervals(spark, d):
     strata = metrics.discovery(t.reference(spark, d), t.observed(spark, d), "form_id").first()
     found = metrics.bootstrap_discovery(strata.hits, strata.truth, strata.hits, strata.predicted)
     return spark.createDataFrame(sorted(found.items()), "metric string, value double")
+
+
+_KNOWN = "SELECT gene_id, contig, strand, {0}, arg_min(transcript_id, k) AS t, arg_min(exon_count, k) AS n FROM ref WHERE gene_id IS NOT NULL{1} GROUP BY gene_id, contig, strand, {0}"
+
+
+@query(
+    f", x AS ({_KNOWN.format('exon_list', '')}), i AS ({_KNOWN.format('gaps', ' AND exon_count > 1')}) "
+    "SELECT o.transcript_id AS isoform, CASE WHEN x.t IS NOT NULL OR i.t IS NOT NULL THEN 'full-splice_match' WHEN o.gene_id IN (SELECT gene_id FROM ref WHERE gene_id IS NOT NULL) THEN 'novel_not_in_catalog' WHEN o.k % 10 = 0 THEN 'fusion' ELSE 'intergenic' END AS structural_category, "
+    "coalesce(o.gene_id, 'unresolved-' || o.transcript_id) AS associated_gene, coalesce(x.t, i.t, 'novel') AS associated_transcript, coalesce((CASE WHEN x.t IS NOT NULL THEN x.n ELSE i.n END)::VARCHAR, 'NA') AS ref_exons, o.exon_count::VARCHAR AS exons, "
+    "CASE WHEN o.exon_count = 1 THEN 'mono-exon' ELSE 'multi-exon' END AS subcategory, 'canonical' AS all_canonical, '1' AS \"FL\", o.exon_bases::BIGINT::VARCHAR AS length "
+    "FROM obs o LEFT JOIN x ON o.gene_id = x.gene_id AND o.contig = x.contig AND o.strand = x.strand AND o.exon_list = x.exon_list LEFT JOIN i ON o.gene_id = i.gene_id AND o.contig = i.contig AND o.strand = i.strand AND o.gaps = i.gaps"
+)
+def classification_table(spark, d):
+    """Structural categories as a table, written and read back."""
+    path = f"{work_dir(spark)}/classification-{uuid.uuid4().hex}/classification.tsv"
+    categories.write_classification(categories.structural_categories(t.observed(spark, d), t.reference(spark, d), "k", F.col("k") % 10 == 0), path)
+    return tables.table(spark, path, categories.COLUMNS, ["isoform"])
+
+
+def _reads(spark, d):
+    """Line items as reads: the supplier is the transcript a read comes from, and clusters are drawn from it and the line's number; some reads are missed."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("truth"), F.min("l_partkey").alias("p"))
+    cluster = F.when(F.col("p") % 13 != 0, F.concat_ws("-", F.floor(F.col("truth") / 2), F.col("p") % 3))
+    return x.select(F.concat_ws(".", "l_orderkey", "l_linenumber").alias("read"), "truth", cluster.alias("cluster"))
+
+
+_READS = (
+    "WITH r AS (SELECT min(l_suppkey) AS truth, CASE WHEN min(l_partkey) % 13 <> 0 THEN (min(l_suppkey) // 2) || '-' || (min(l_partkey) % 3) END AS c FROM lineitem GROUP BY l_orderkey, l_linenumber), "
+    "cells AS (SELECT c, truth, count(*) AS n FROM r WHERE c IS NOT NULL GROUP BY ALL), "
+    "a AS (SELECT sum(n) AS n, sum(n * (n - 1) // 2) AS same, count(*) AS others FROM cells GROUP BY c), b AS (SELECT sum(n) AS n, sum(n * (n - 1) // 2) AS same, count(*) AS others FROM cells GROUP BY truth), "
+    "m AS (SELECT count(*) AS clusters, count(*) FILTER (others > 1) AS mixed_clusters, sum(n * (n - 1) // 2)::BIGINT AS cluster_pairs, sum(n * (n - 1) // 2 - same)::BIGINT AS false_merges FROM a), "
+    "s AS (SELECT count(*) AS truth_groups, count(*) FILTER (others > 1) AS split_groups, sum(n * (n - 1) // 2)::BIGINT AS truth_pairs, sum(n * (n - 1) // 2 - same)::BIGINT AS false_splits FROM b) "
+)
+
+
+@query(_READS + "SELECT *, requested - missing AS observations, false_merges / cluster_pairs AS false_merge_rate, false_splits / truth_pairs AS false_split_rate FROM m, s, (SELECT count(*) AS requested, count(*) FILTER (c IS NULL) AS missing FROM r)", plain=True)
+def read_partition(spark, d):
+    """Clusters of reads against the transcripts that they come from."""
+    return metrics.read_partition(_reads(spark, d), "read", "cluster", "truth")
+
+
+@query()
+def read_intervals(spark, d):
+    """Intervals of both rates, with clusters and truth groups drawn on the executors; tested against resampling one by one."""
+    return metrics.read_intervals(stored(_reads(spark, d), "reads"), "cluster", "truth")
