@@ -1,14 +1,16 @@
-"""Registered queries over files that are rewritten line by line, and over a genome in chunks, with SQL over the tables."""
+"""Registered queries over files that are rewritten line by line or read strictly, a genome in chunks, matrices and states kept between runs, with SQL over the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.operators import snapshots
 from strandlake.session import stored
-from strandlake.sources import annotation, genome, lines, tables
+from strandlake.sinks import files
+from strandlake.sources import annotation, genome, lines, strict, tables, vectors
 
 from . import driver_tables as t
-from .catalog_queries import query
+from .catalog_queries import _classified, query
 from .file_queries import folder, written
 
 
@@ -151,3 +153,76 @@ def transcriptome_sam(spark, d):
     path = f"{folder(spark)}/t.sam"
     genome.write_sam(models, store, path, SIZE)
     return _numbered(spark, path)
+
+
+# ---------------------------------------------------------------------------- strict reading, vectors, matrices, states
+@query(
+    "SELECT error, count(*) AS n FROM (SELECT CASE k % 7 WHEN 0 THEN 'an open quote' WHEN 1 THEN 'adjacent exons' WHEN 2 THEN 'bounds differ from the exons' WHEN 3 THEN 'an unknown or open escape' WHEN 4 THEN 'past the end of its contig' WHEN 5 THEN 'invalid phase' END AS error FROM tx) WHERE error IS NOT NULL GROUP BY error"
+)
+def strict_errors(spark, d):
+    """What a strict reading refuses; six of seven transcripts have one fault each."""
+    m = t.transcripts(spark, d)
+    kind = F.col("k") % 7
+    head = lambda feature, s, e: F.concat_ws("\t", "contig", F.lit("made"), F.lit(feature), s, e, F.lit("."), "strand", F.when((kind == 5) & (F.lit(feature) == "transcript"), "7").otherwise("."))
+    ids = F.concat(F.lit('transcript_id "'), "transcript_id", F.lit('"'))
+    note = F.when(kind == 0, '; note "open').when(kind == 3, '; note "\\x"').otherwise('; note "a; \\"b\\""')
+    own = head("transcript", F.col("start"), F.col("end") + F.when(kind == 2, 1).when(kind == 4, 10**9).otherwise(0))
+    rows = m.select("k", F.lit(0).cast("long").alias("s"), F.concat(own, F.lit("\t"), ids, note).alias("value"))
+    exons = m.withColumn("x", F.explode("exons")).select("k", "contig", "strand", "transcript_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"), (F.col("x.end") == F.col("end")).alias("last"))
+    # an exon in two parts without a gap
+    spans = F.when((kind == 1) & F.col("last"), F.array(F.struct("s", (F.col("e") - 1).alias("e")), F.struct(F.col("e").alias("s"), "e"))).otherwise(F.array(F.struct("s", "e")))
+    parts = exons.withColumn("p", F.explode(spans)).select("k", "contig", "strand", "transcript_id", "p.s", "p.e")
+    rows = rows.unionByName(parts.select("k", "s", F.concat(head("exon", F.col("s"), F.col("e")), F.lit("\t"), ids).alias("value")))
+    path = written(rows, ["k", "s"], "strict.gtf", F.col("value"))
+    lengths = m.groupBy(F.col("contig").alias("name")).agg((F.max("end") + 2).alias("length"))
+    return strict.errors(spark, path, lengths).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT transcript_id AS vector, 'form' AS role FROM tx WHERE k % 7 = 0 UNION ALL SELECT transcript_id, 'splice_chain' FROM tx WHERE k % 5 = 0 AND exon_count > 1")
+def vector_failures(spark, d):
+    """Vectors of a JSON document whose identities are not what the structures give: some digests are wrong, some chains are left out."""
+    m = t.transcripts(spark, d)
+    form = F.when(F.col("k") % 7 == 0, F.col("form").withField("full_digest", F.sha2("transcript_id", 256))).otherwise(F.col("form"))
+    chain = F.when(F.col("k") % 5 != 0, F.col("splice_chain"))
+    vector = F.to_json(F.struct(F.col("transcript_id").alias("name"), "contig", "strand", F.transform("exons", lambda x: F.array(x["start"], x["end"])).alias("exons"), form.alias("form"), chain.alias("splice_chain")))
+    rows = m.select("k", vector.alias("v")).withColumn("last", F.col("k") == F.lit(m.agg(F.max("k")).first()[0]))
+    line = F.concat("v", F.when(F.col("last"), "]}").otherwise(","))
+    path = written(rows, ["k"], "vectors.json", line, f'{{"assembly_fingerprint": "{t.ASSEMBLY}", "vectors": [')
+    return vectors.checked(spark, path).filter("NOT valid").select("vector", "role")
+
+
+_CELLS = ", cells AS (SELECT sample, contig || '.' || tool || '.' || exon_count AS c, count(*) AS n FROM obs GROUP BY ALL), grid AS (SELECT s.sample, c.c, coalesce(n, 0) AS n FROM (SELECT DISTINCT sample FROM cells) s CROSS JOIN (SELECT DISTINCT c FROM cells) c LEFT JOIN cells USING (sample, c)) "
+
+
+def _matrix(spark, d, value):
+    """Observations by sample, and by contig, tool and number of exons, as a file in blocks of seven columns."""
+    o = t.observed(spark, d).groupBy("sample", F.concat_ws(".", "contig", "tool", "exon_count").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    path = f"{folder(spark)}/matrix.tsv"
+    files.write_matrix(o.withColumn("v", value), "sample", "c", "v", path, 7)
+    return _numbered(spark, path)
+
+
+@query(_CELLS + "SELECT 1::BIGINT AS at, 'sample' || chr(9) || string_agg(c, chr(9) ORDER BY c) AS value FROM (SELECT DISTINCT c FROM cells) UNION ALL SELECT 1 + row_number() OVER (ORDER BY sample), sample || chr(9) || string_agg(n, chr(9) ORDER BY c) FROM grid GROUP BY sample")
+def count_matrix_file(spark, d):
+    """A dense matrix of counts, line by line."""
+    return _matrix(spark, d, F.col("n"))
+
+
+@query(_CELLS + "SELECT 1::BIGINT AS at, 'sample' || chr(9) || string_agg(c, chr(9) ORDER BY c) AS value FROM (SELECT DISTINCT c FROM cells) UNION ALL SELECT 1 + row_number() OVER (ORDER BY sample), sample || chr(9) || string_agg((n > 0)::INT, chr(9) ORDER BY c) FROM grid GROUP BY sample")
+def presence_matrix_file(spark, d):
+    """The same with 1 for what is there."""
+    return _matrix(spark, d, F.lit(1))
+
+
+@query(
+    ", s AS (SELECT 1 AS i, form_id, chain_id, label FROM classified WHERE k % 10 < 6 UNION ALL SELECT 2, form_id, chain_id, label FROM classified WHERE k % 10 < 8 UNION ALL SELECT 3, form_id, CASE WHEN k % 9 = 1 THEN 'moved' || (k % 2) ELSE chain_id END, CASE WHEN k % 4 = 1 THEN 'other' ELSE label END FROM classified WHERE k % 10 > 1), "
+    "f AS (SELECT i, form_id, min(coalesce(chain_id, '')) AS c, list(DISTINCT label) AS l FROM s GROUP BY ALL), b AS (SELECT coalesce(n.i, o.i + 1) AS i, n.form_id AS now, o.form_id AS old, n.c <> o.c AS moved, NOT list_has_all(n.l, o.l) AS lost FROM f n FULL JOIN f o ON n.form_id = o.form_id AND n.i = o.i + 1) "
+    "SELECT i::BIGINT AS snapshot, count(now) AS forms, count(*) FILTER (old IS NULL) AS new, count(*) FILTER (now IS NULL) AS disappeared, count(*) FILTER (moved) AS changed_chains, count(*) FILTER (lost) AS lost_labels FROM b WHERE i < 4 GROUP BY i"
+)
+def snapshot_states(spark, d):
+    """Three snapshots, each compared with the state that the last one left."""
+    c = stored(_classified(spark, d).select("k", "form_id", F.col("chain_id").alias("splice_chain_id"), F.col("label").alias("classifications")), "snapshots")
+    last = c.filter("k % 10 > 1").withColumns({"splice_chain_id": F.when(F.col("k") % 9 == 1, F.concat(F.lit("moved"), F.col("k") % 2)).otherwise(F.col("splice_chain_id")), "classifications": F.when(F.col("k") % 4 == 1, "other").otherwise(F.col("classifications"))})
+    path = f"{folder(spark)}/states"
+    found = [snapshots.SnapshotState(spark, path).add(x) for x in (c.filter("k % 10 < 6"), c.filter("k % 10 < 8"), last)]
+    return spark.createDataFrame([tuple(r.values()) for r in found], ", ".join(f"{k} long" for k in found[0]))

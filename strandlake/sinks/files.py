@@ -6,9 +6,11 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandlake.functions.export import MAPPING, delimited, gtf_lines
-from pyspark.sql import functions as F
+from strandlake.operators.registry import numbered
+from strandlake.session import released, stored
 
 
 class OutputError(ValueError):
@@ -94,6 +96,57 @@ def write_lines(df: DataFrame, order: list, path: str, header: str | None = None
         files.fs.delete(files.path(staging), True)
 
 
+def write_matrix(cells: DataFrame, row: str, column: str, value: str, path: str, block: int = 4096) -> None:
+    """A table with a line for each `row` and a column for each `column`, both sorted, zeros filled; cells: one row a filled cell.
+
+    Columns are numbered and cut into blocks, so no task holds a whole line and none is pivoted: a cell's zeros before it come from the gap to the
+    last one. A piece of a line is a record; what parts pieces is the tab between two columns, and the end of a line stands in its last piece.
+    """
+    spark, tab = cells.sparkSession, F.lit("\t")
+    cells = stored(cells.select(F.col(row).alias("row"), F.col(column).alias("column"), F.col(value).alias("value")), "matrix-cells")
+    prefix = [F.substring("column", 1, 12)]
+    columns = stored(numbered(cells.select("column").distinct(), prefix, ["column"], "no", -1), "matrix-columns")
+    rows = stored(numbered(cells.select("row").distinct(), [F.substring("row", 1, 12)], ["row"], "r", -1), "matrix-rows")
+    n = columns.count()
+    if not n:
+        write_text(spark, path, f"{row}\n")
+        return
+    last, b = (n - 1) // block, F.floor(F.col("no") / block)
+    head = columns.withColumn("b", b).groupBy("b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "column"))), lambda c: delimited([c["column"]])), "\t").alias("text"))
+    head = head.select(F.lit(-1).cast("long").alias("r"), F.col("b").cast("long").alias("b"), "text").unionByName(spark.createDataFrame([(-1, -1, row)], "r long, b long, text string"))
+    filled = cells.join(columns, "column").select("row", b.alias("b"), F.struct((F.col("no") % block).cast("int").alias("at"), F.col("value").cast("string").alias("value")).alias("c"))
+    filled = filled.groupBy("row", "b").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    grid = rows.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).join(filled, ["row", "b"], "left")
+    width = F.when(F.col("b") == last, n - last * block).otherwise(block)
+    shown = "transform(c, (x, i) -> concat(repeat('0\\t', x.at - IF(i > 0, c[i - 1].at, -1) - 1), x.value))"
+    text = F.concat(F.array_join(F.expr(shown), "\t"), F.expr("repeat('\\t0', width - 1 - element_at(c, -1).at)"))
+    grid = grid.withColumn("width", width.cast("int"))
+    text = F.when(F.col("c").isNull(), F.concat(F.lit("0"), F.expr("repeat('\\t0', width - 1)"))).otherwise(text)
+    # a line begins with its row's name
+    after = rows.select((F.col("r") - 1).alias("r"), delimited([F.col("row")]).alias("next"))
+    pieces = head.unionByName(grid.select("r", "b", text.alias("text"))).join(after, "r", "left")
+    ended = F.when(F.col("b") == last, F.concat("text", F.coalesce(F.concat(F.lit("\n"), "next"), F.lit("")))).otherwise(F.col("text"))
+    files = Files(spark, path)
+    staging = f"{files.path(path).getParent().toString()}/.parts-{uuid.uuid4().hex}"
+    try:
+        pieces.withColumn("line", ended).orderBy("r", "b").select("line").write.option("lineSep", "\t").text(staging)
+        parts = [(p, files.fs.getFileStatus(p).getLen()) for p in files.parts(staging)]
+        parts = [(p, size) for p, size in parts if size]
+
+        def fill(out) -> None:
+            for k, (part, size) in enumerate(parts):
+                stream = files.fs.open(part)
+                # the last piece's tab becomes the last line's end
+                files.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, size - (k == len(parts) - 1))
+                stream.close()
+            out.write(10)
+
+        files.replaced(path, fill)
+    finally:
+        files.fs.delete(files.path(staging), True)
+        released(spark, cells, columns, rows)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     Files(spark, path).replaced(path, lambda out: out.write(bytearray(text.encode())))
 
