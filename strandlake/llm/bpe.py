@@ -9,7 +9,8 @@ none fits, the last token is taken back. A bit per position keeps dead ends from
 The vocabulary file is a parameter and is read on the driver; tasks get it as a broadcast.
 
 Defined results: null and empty texts have no tokens; special tokens written in a text are
-encoded as such; repeated documents and rows with a null doc_id have results row by row; extra columns are ignored; an empty table
+encoded as such; repeated documents and rows with a null doc_id have results row by row; doc_id must be a whole number or cast to one; of tokens that could be joined at
+the same rank the left ones are, as the merges do; extra columns are ignored; an empty table
 gives no rows. A text is encoded whole in one task, with about 40 bytes of memory for each of its tokens; a very long word takes time
 linear in its length.
 """

@@ -17,8 +17,8 @@ Words are 64-bit hashes and predecessors 40 bits of one, so that no dictionary g
 
 Defined results: a null or empty text is its end token alone; each row is a document, also where a
 doc_id repeats; a null doc_id trains and is no held-out document; without training documents all
-counts are 0; extra columns are ignored; an empty table gives no rows. A text is handled in one task with
-about 60 bytes of memory for each of its bytes.
+counts are 0; extra columns are ignored; an empty table gives no rows; doc_id must be a whole number or cast to one; nothing is ranked, so there
+are no ties. A text is handled in one task with about 60 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations

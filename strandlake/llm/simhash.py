@@ -12,7 +12,7 @@ A node is a fingerprint; ids of documents only meet the nodes again at the end,
 Defined results: null and empty texts and texts without words have fingerprint zero and link
 like any other; texts of under three words have one shingle, the whole sequence; equal fingerprints
 are one node; rows repeated with one doc_id get equal results; a component's id is its least doc_id that is not
-null, and null if it has none; extra columns are ignored; an empty table gives no rows. A text is handled
+null, and null if it has none; doc_id must be a whole number or cast to one; extra columns are ignored; an empty table gives no rows. A text is handled
 in one task, with about 100 bytes of memory for each of its words.
 """
 

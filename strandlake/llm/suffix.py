@@ -15,7 +15,7 @@ anchor, the same one wherever it stands), one in 13.5; only those whose name is
 
 Defined results: a null text is empty; matches never cross rows; rows that share a doc_id are
 one document's rows: they are judged against smaller doc_ids and never against each other; a null
-doc_id is larger than any other; extra columns are ignored; an empty table gives no rows. A text is handled
+doc_id is larger than any other; doc_id must be a whole number or cast to one; extra columns are ignored; an empty table gives no rows. A text is handled
 in one task with about 40 bytes of memory for each of its bytes.
 """
 
@@ -210,7 +210,7 @@ def spans(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     bits = spark.sparkContext.broadcast(_filter(_first_names(rows)))
     released(spark)
-    # one shuffle by name; a document has few anchors of one name, so a common passage is no hot key
+    # one shuffle by name; a document has few anchors of one name, but those of a passage that very many documents share meet in one task
     named, same = Window.partitionBy("name"), Window.partitionBy("name", "whole")
     judged = _candidates(rows, bits).withColumns({"low": F.min("id").over(named), "high": F.max("id").over(named), "varied": F.min("whole").over(named) != F.max("whole").over(named)})
     judged = judged.filter("low < high").withColumn("first", F.min("id").over(same)).filter("first < id OR varied")
