@@ -367,8 +367,14 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _streams(df: DataFrame, shards: int) -> DataFrame:
-    """Each shard's rows together in one task, in the order of their kind."""
-    return df.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    """Each shard's rows together in one task, in the order of their kind; a task gets one shard.
+
+    Rows are dealt by the hash of a number, so each shard is given a number whose hash falls to a task of its own.
+    """
+    tried = df.sparkSession.range(64 * shards).groupBy(F.pmod(F.hash("id"), F.lit(shards)).alias("task")).agg(F.min("id").alias("id"))
+    number = {r.task: r.id for r in tried.collect()}  # one a shard
+    deal = F.array(*[F.lit(number.get(k, k)).cast("long") for k in range(shards)])
+    return df.repartition(shards, F.element_at(deal, F.col("shard") + 1)).sortWithinPartitions("shard", "kind")
 
 
 def _by_shard(batches):
