@@ -39,7 +39,8 @@ def parser() -> argparse.ArgumentParser:
     command("init", "create a registry from a FASTA file and an annotation", "fasta", "assembly", "annotation", "annotation-name", optional=("contig-aliases",), fmt=True)
     command("annotation-add", "add another release of the annotation", "annotation", "annotation-name", fmt=True)
     command("add", "import one file, all or nothing", "input", "sample", "tool", "annotation-name", "output-gtf", "mapping", fuzzy=True, fmt=True)
-    command("batch", "import the files of a manifest", "manifest", "output-dir", fuzzy=True)
+    batch = command("batch", "import the files of a manifest", "manifest", "output-dir", fuzzy=True)
+    batch.add_argument("--resume-completed", type=int, metavar="N", help="go on after N files of the manifest whose outputs are as they were written")
     several = command("multi-add", "import files of one tool", "tool", "annotation-name", "output-dir", fuzzy=True)
     several.add_argument("--input", required=True, nargs="+", metavar="PATH")
     several.add_argument("--samples", nargs="+", metavar="SAMPLE")
@@ -63,7 +64,7 @@ def run(args: argparse.Namespace, c: Commands):
         out = c.import_file(args.input, args.sample, args.tool, args.annotation_name, args.format, **tolerance, gtf=args.output_gtf, mapping=args.mapping)
         return {**out, "output_gtf": args.output_gtf, "mapping": args.mapping}
     if args.command == "batch":
-        return c.batch_file(args.manifest, args.output_dir, **tolerance)
+        return c.batch_file(args.manifest, args.output_dir, **tolerance, completed=args.resume_completed)
     if args.command == "multi-add":
         return c.multi_add(args.input, args.tool, args.annotation_name, args.output_dir, args.samples, **tolerance)
     if args.command == "export":

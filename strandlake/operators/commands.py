@@ -13,7 +13,7 @@ from strandlake.session import released, stored
 from strandlake.sinks import files
 from strandlake.sources import annotation, tables
 
-from . import classify, registry, stateful
+from . import artifacts, classify, registry, stateful
 from .registry import Registry, RegistryError, numbered
 
 ALGORITHM = "complete-linkage-v1"
@@ -153,8 +153,12 @@ class Commands:
         return out, founders.select("locus", name.alias("public_id"), "f.*", F.lit(import_id).alias("import_id"))
 
     @_alone
-    def batch(self, manifest: DataFrame, folder: str, splice: int | None = None, end: int | None = None) -> list[dict]:
-        """Import a manifest's files in its order, cluster once, then write every file's outputs. Each import is its own commit."""
+    def batch(self, manifest: DataFrame, folder: str, splice: int | None = None, end: int | None = None, completed: int | None = None) -> list[dict]:
+        """Import a manifest's files in its order, cluster once, then write every file's outputs. Each import and each file's outputs are a commit.
+
+        completed resumes a batch that was interrupted: its first so many files, and no others of it, must be imported, and what the ledger
+        has of their outputs must be there as it was written. Outputs of theirs that show the current clusters are kept; the rest is written.
+        """
         fuzzy = fuzzy_options(splice, end)
         prepared = []
         for r in manifest.orderBy("annotation_name", "sample", "tool", "input").collect():  # a list of files
@@ -164,13 +168,40 @@ class Commands:
             prepared.append((r, gtf, mapping))
         outputs = [p for _, gtf, mapping in prepared for p in (gtf, mapping)]
         files.distinct_paths(self.files, [r.input for r, *_ in prepared], outputs)
+        if completed is not None:
+            self._resumable([r for r, *_ in prepared], completed)
         done = [{**self._import(r.input, r.sample, r.tool, r.annotation_name, r.format), "input": r.input, "sample": r.sample, "tool": r.tool, "annotation_name": r.annotation_name, "output_gtf": gtf, "mapping": mapping} for r, gtf, mapping in prepared]
         if fuzzy:
             self.cluster(splice, end)
-        for d in done:
-            self._outputs(d["import_id"], d["output_gtf"], d["mapping"])
+        kept = self._written() if completed is not None else set()
+        for k, d in enumerate(done):
+            paths = {(d["import_id"], self.files.resolved(d[x])) for x in ("output_gtf", "mapping")}
+            d["written"] = k >= (completed or 0) or not paths <= kept
+            if d["written"]:
+                self._outputs(d["import_id"], d["output_gtf"], d["mapping"])
         return done
 
+    def _resumable(self, rows: list, completed: int) -> None:
+        """Raise unless the first `completed` files of a batch are what the registry holds of it, with their artifacts as they were written."""
+        if not 0 <= completed <= len(rows):
+            raise RegistryError(f"completed must be from 0 to {len(rows)}, not {completed}")
+        ids = [text_digest(r.annotation_name, r.sample, r.tool, self.files.sha256(r.input)) for r in rows]
+        old = self.registry.table("import_manifest")
+        held = set() if old is None else {r.import_id for r in old.filter(F.col("import_id").isin(ids)).select("import_id").collect()}
+        if held != set(ids[:completed]):
+            raise RegistryError(f"the registry holds {len(held)} of the batch's files, and not just the first {completed}")
+        if bad := artifacts.problems(self.spark, self._ledger().filter(F.col("import_id").isin(ids[:completed]))).orderBy("path").head(1):
+            raise RegistryError(f"{bad[0].path} is {bad[0].problem}")
+
+    def _run(self) -> str:
+        """The current run of clusters, empty if there is none."""
+        current = self.registry.table("fuzzy_current")
+        return "" if current is None else current.first().run_id
+
+    def _written(self) -> set[tuple[str, str]]:
+        """Import and path of the outputs that show the current clusters: two a file."""
+        return {(r.import_id, r.path) for r in self._ledger().filter(F.col("run_id") == self._run()).collect()}
+
     def batch_file(self, path: str, folder: str, **options) -> list[dict]:
         return self.batch(tables.batch_manifest(self.spark, path), folder, **options)
 
@@ -183,11 +214,36 @@ class Commands:
         return row.select(F.concat_ws(".", *[text.slug(F.col(c)) for c in "abc"], F.lit(checksum.split(":", 1)[1][:10])).alias("s")).first().s
 
     def _outputs(self, import_id: str, gtf: str | None, mapping: str | None) -> None:
+        kinds = {self.files.resolved(p): kind for kind, p in (("gtf", gtf), ("mapping", mapping)) if p}
+        if not kinds:
+            return
+        old = self._ledger().filter(F.col("path").isin(list(kinds))).select("path")
+        if old.head(1):  # a file that is about to change is not an altered one
+            self._recorded(import_id, kinds, old.withColumns({"bytes": F.lit(None).cast("long"), "digest": F.lit(None).cast("string")}))
         rows = self.assignments(import_id)
         if gtf:
             files.write_gtf(rows, gtf)
         if mapping:
             files.write_mapping(rows, mapping)
+        self._recorded(import_id, kinds, artifacts.digests(self.spark, list(kinds)))
+
+    def _recorded(self, import_id: str, kinds: dict[str, str], found: DataFrame) -> None:
+        """Append files (path, bytes, digest) to the ledger; the last entry of a path counts, and one without a digest takes it out."""
+        kind = F.create_map(*[F.lit(x) for item in kinds.items() for x in item])[F.col("path")]
+        number = F.lit(self.registry.number()).cast("long")
+        self.registry.commit({"artifact": found.select(F.lit(import_id).alias("import_id"), kind.alias("kind"), F.lit(self._run()).alias("run_id"), "path", "bytes", "digest", number.alias("at")).coalesce(1)})
+
+    def _ledger(self) -> DataFrame:
+        """The outputs as they were last written: one row a path."""
+        rows = self.registry.table("artifact")
+        if rows is None:
+            return self.spark.createDataFrame([], artifacts.LEDGER)
+        last = rows.groupBy("path").agg(F.max_by(F.struct("import_id", "kind", "run_id", "bytes", "digest"), "at").alias("x"))
+        return last.select("x.import_id", "x.kind", "x.run_id", "path", "x.bytes", "x.digest").filter("digest IS NOT NULL")
+
+    def lost_artifacts(self) -> DataFrame:
+        """path and problem of all recorded outputs that are lost or altered."""
+        return artifacts.problems(self.spark, self._ledger())
 
     # -- clusters
 

@@ -117,6 +117,10 @@ class Registry:
             raise RegistryError(f"schema version {state['schema_version']} is not {SCHEMA_VERSION}")
         return state
 
+    def number(self) -> int:
+        """How many commits there have been."""
+        return self._state()["number"]
+
     def _point(self, state: dict) -> None:
         state["number"] += 1
         staged, target = (self._hpath(f"{self.path}/{n}") for n in (f".{uuid.uuid4().hex}.json", f"state-{state['number']:08d}.json"))

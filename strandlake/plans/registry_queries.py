@@ -114,3 +114,19 @@ def missing_parents(spark, d):
     orders = r("orders")
     found = registry.orphans({"orphans": (r("lineitem"), "l_orderkey", orders.filter("o_orderkey % 3 <> 0"), "o_orderkey"), "parents": (orders, "o_orderkey", r("lineitem").select(F.col("l_orderkey").alias("k")).unionByName(orders.select(F.col("o_orderkey").alias("k"))), "k")})
     return found.unpivot([], ["orphans", "parents"], "kind", "n")
+
+
+@query("SELECT sample, sample <> 'F' AS written, sample <> 'F' AS created, count(*) AS transcripts, count(*) + 1 AS lines, 0::BIGINT AS lost FROM obs GROUP BY sample")
+def resumed_batch(spark, d):
+    """J8, L batch: a file a sample; the batch goes on after the first, whose outputs are as the ledger has them."""
+    built, root = _registry(spark, d)[0], folder(spark)
+    c = Commands(spark, f"{root}/registry")
+    c.registry.commit({name: built.registry.table(name) for name in ("reference_context", "contig", "annotation_context", "structural_object", "reference_transcript")})
+    o = t.observed(spark, d)
+    samples = sorted(r.sample for r in o.select("sample").distinct().collect())  # an order's status
+    rows = [(gtf_file(o.filter(F.col("sample") == s), f"{s}.gtf"), s, "t", "v1", None) for s in samples]
+    batch = lambda rows, **more: c.batch(spark.createDataFrame(rows, "input string, sample string, tool string, annotation_name string, format string"), f"{root}/out", **more)
+    batch(rows[:1])
+    done = batch(rows, completed=1)
+    found = [(x["sample"], x["written"], x["created"], x["transcripts"], spark.read.text(x["mapping"]).count(), c.lost_artifacts().count()) for x in done]
+    return spark.createDataFrame(found, "sample string, written boolean, created boolean, transcripts long, lines long, lost long")

@@ -20,9 +20,9 @@ ADDRESS = ["file", "block", "place"]
 KEPT_FEATURES, IDENTIFIERS = ["exon", "transcript"], ["gene_id", "transcript_id"]
 
 
-def addressed(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, block and place of each line."""
-    lines = spark.read.text(path)
+def addressed(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
+    """value, file, block and place of each line; lines end as usual, or at the separator alone."""
+    lines = spark.read.text(path, lineSep=separator)
     return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
 
 
