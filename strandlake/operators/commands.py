@@ -289,6 +289,12 @@ class Commands:
 
     # -- reports
 
+    def provenance(self) -> DataFrame:
+        """Observations with the file, checksum, size and time of their import and the fingerprint of their annotation."""
+        m = self._needed("import_manifest").select("import_id", "input", "input_checksum", "transcripts", F.col("created_utc").alias("imported_utc"))
+        a = self._needed("annotation_context").select(F.col("name").alias("annotation_name"), F.col("fingerprint").alias("annotation_fingerprint"))
+        return self.observations().join(m, "import_id").join(a, "annotation_name")
+
     def catalog(self) -> DataFrame:
         return registry.catalog(self._needed("observation").withColumn("splice_chain_id", F.col("chain_id")))
 

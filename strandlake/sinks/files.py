@@ -193,6 +193,22 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
     write_table(catalog.select(*names), path, ["gene_id", "form_id", "splice_chain_id"])
 
 
+def write_aliases(df: DataFrame, path: str) -> None:
+    """df's alias and primary, each pair once, sorted by alias; empty aliases, na and names that stand for themselves are left out.
+
+    An alias with two targets, and a name with a tab or a line break, are refused.
+    """
+    rows = stored(df.select("alias", "primary").filter("alias NOT IN ('', 'na') AND alias <> primary").distinct(), "aliases")
+    try:
+        if bad := rows.groupBy("alias").count().filter("count > 1").orderBy("alias").head(1):
+            raise OutputError(f"alias {bad[0].alias} has several targets")
+        if bad := rows.filter("alias RLIKE '[\\\\t\\\\n\\\\r]' OR primary RLIKE '[\\\\t\\\\n\\\\r]'").head(1):
+            raise OutputError(f"alias {bad[0].alias!r} has a tab or a line break")
+        write_lines(rows.withColumn("line", F.concat_ws("\t", "alias", "primary")), ["alias"], path, "alias\tprimary")
+    finally:
+        released(df.sparkSession, rows)
+
+
 def file_records(spark: SparkSession, paths: list[str]) -> list[dict]:
     """Path, size and checksum of each file."""
     out = []
