@@ -1,3 +1,5 @@
+import gzip
+import hashlib
 import json
 import random
 
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake import cli
 from strandlake.operators import metrics, plots, registry, stateful
+from strandlake.plans import registry_queries
 from strandlake.sinks import files
 from strandlake.sources import annotation
 
@@ -134,3 +137,36 @@ def test_shell(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["add", db])
     assert e.value.code == 2
+
+
+def test_contigs_over_batches_blocks_and_pieces(spark, tmp_path, monkeypatch):
+    """Sequences that go over Arrow batches, blocks of the file and pieces have the digests of the whole; gzipped in members too."""
+    rng, text, want = random.Random(5), [], []
+    for k, size in enumerate((1, 200_000, 64, 70_001, 3)):
+        bases = "".join(rng.choices("ACGTacgtN", k=size))
+        text.append(f">c{k} told\n" + "".join(f"{bases[i : i + 70]} \n" for i in range(0, size, 70)) + "\n" * (k % 2))
+        want.append((f"c{k}", size, hashlib.sha256(bases.upper().encode()).hexdigest()))
+    (tmp_path / "x.fa").write_text("".join(text))
+    (tmp_path / "y.fa.gz").write_bytes(b"".join(gzip.compress(t.encode()) for t in text))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for block, records in (("10000", "50"), ("128m", "10000")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+            for name in ("x.fa", "y.fa.gz"):
+                assert sorted(tuple(r) for r in annotation.contigs(spark, str(tmp_path / name)).collect()) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_registry_genome_has_short_lines(spark, tmp_path, monkeypatch):
+    """The registry's queries write a genome of lines, as a contig of large tables is longer than a row may be."""
+    seen = []
+    monkeypatch.setattr(registry_queries, "_built", {})
+    real = registry_queries.Commands.initialize
+    monkeypatch.setattr(registry_queries.Commands, "initialize", lambda c, fasta, *a, **k: (seen.append(fasta), real(c, fasta, *a, **k)))
+    c, *_ = registry_queries._registry(spark, "/root/testdata/sf0.001")
+    longest, lines = spark.read.text(seen[0]).selectExpr("max(length(value))", "count(*)").first()
+    names = {r.name: r.length for r in c.registry.table("contig").collect()}
+    assert longest == registry_queries.LINE < min(names.values()) and lines == 5 + sum(-(-n // longest) for n in names.values())
