@@ -1,10 +1,12 @@
 """Rewritten files are equal line by line, and genomes in chunks equal plain Python, whatever the size of a task's block."""
 
 import gzip
+import hashlib
 import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.session import stored
 from strandlake.sinks import files
@@ -160,3 +162,27 @@ def test_genome_errors(spark, tmp_path):
     for contig, end in (("a", 5), ("b", 2)):
         with pytest.raises(annotation.AnnotationError, match="t is not within"):
             genome.spliced(spark.createDataFrame([("t", contig, "+", [(1, end)])], "transcript_id string, contig string, strand string, exons array<struct<start:bigint,end:bigint>>"), store)
+
+
+def test_folder_of_parts_counts_as_one_file(spark, tmp_path):
+    """Lines are numbered over a folder's gzipped parts, header first; rewrites, sizes and digests take it for one file, and a gzipped output's parts are zipped."""
+    rows = spark.createDataFrame([(k, f"t{k}", f) for k in range(50) for f in ("transcript", "exon")], "k int, t string, f string")
+    rows = rows.withColumn("line", F.format_string('c\ts\t%s\t1\t9\t.\t+\t.\tgene_id "g"; transcript_id "%s"; tag "x"; tag "y"', "f", "t"))
+    path, plain = str(tmp_path / "a.gtf"), str(tmp_path / "b.gtf")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_parts(rows, ["k", F.desc("f")], path, "# head")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files.write_lines(rows, ["k", F.desc("f")], plain, "# head")
+    want = open(plain).read().splitlines()
+    assert len(list((tmp_path / "a.gtf").glob("part-*.gz"))) > 2
+    assert [(r.number, r.value) for r in lines.with_numbers(lines.addressed(spark, path)).orderBy("number").collect()] == list(enumerate(want, 1))
+    found = [lines.identity_view(spark, p, str(tmp_path / f"{k}.gtf.gz")) for k, p in enumerate((path, plain))]
+    assert found[0]["read"] == found[1]["read"] == {"exon": 50, "transcript": 50} and found[0]["repeated"] == found[1]["repeated"] == {"tag": 100}
+    texts = [gzip.open(tmp_path / f"{k}.gtf.gz", "rt").read() for k in range(2)]
+    assert texts[0] == texts[1] and texts[0].count("\n") == 101
+    parts = sorted((tmp_path / "a.gtf").glob("part-*"), key=lambda p: p.name)
+    f = files.Files(spark, path)
+    assert f.size(path) == sum(p.stat().st_size for p in parts) and f.sha256(path) == "sha256:" + hashlib.sha256(b"".join(p.read_bytes() for p in parts)).hexdigest()
+    assert annotation.transcripts(spark, path).count() == 50
