@@ -91,6 +91,6 @@ def catalog_order(spark, d):
 )
 def gtf_order(spark, d):
     """The lines of a rewritten annotation in the order of places, forms and names."""
-    path = f"{folder(spark)}/out.gtf"
+    path = f"{folder(spark)}/out.gtf.gz"
     files.write_gtf(_assigned(spark, d), path)
     return _numbered(spark, path)
