@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 #: Transitions that a worker makes before it forgets them; words whose tokens it remembers, as often again for the time before.
-STATES, REMEMBERED, PAIRS = 200_000, 150_000, 250_000
+STATES, REMEMBERED, PAIRS = 800_000, 300_000, 250_000
 #: Tokens that the decoder takes at a time.
 CHUNK = 4096
 

@@ -104,3 +104,13 @@ def test_tables(spark):
     broken = transducer.decoded(spark.createDataFrame([("x", [ranks.rank[b"\xe4"]]), ("y", None)], "doc_id string, ids array<int>"), path, pattern)
     assert sorted(map(tuple, broken.collect())) == [("x", "�"), ("y", "")]
     assert transducer.report(docs.limit(0), path, pattern).collect() == []
+
+
+def test_transitions_of_a_large_corpus_are_kept():
+    """A quarter of a million transitions, which texts of some 20 MB need, do not make a worker begin anew."""
+    ranks = transducer.Ranks({bytes([b]): b for b in range(256)})
+    machine = transducer.Transducer(ranks)
+    first, machine.made = machine.start, 250_000
+    assert machine.tokens(b"ab") == [97, 98] and machine.start is first
+    machine.made = transducer.STATES + 1
+    assert machine.tokens(b"ab") == [97, 98] and machine.start is not first
