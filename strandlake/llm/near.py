@@ -1,12 +1,13 @@
 """SimHash near-dedup at a similarity: texts whose sets of 5-word shingles have a Jaccard similarity of at least 4/5.
 
-Texts at that similarity differ in some ten of 64 SimHash bits, too many for pigeonhole blocks: any choice of blocks
-that keeps them together makes thousands of keys a text, or keys of a few bits. So the blocks are cut from MinHash values of the same
-shingles instead: a pair of similarity 4/5 shares one of BANDS keys with probability 0.99995, a closer one more often. What meets in
-a key is verified by Hamming distance of the SimHash fingerprints and by size (over four standard deviations below the similarity),
-then on the shingles themselves, so no other texts are linked.
-
-No key makes all pairs of its texts, and none is gathered in one task. The first round compares the texts of a key with one of them,
+The first round is SimHash's own, as in simhash.py: fingerprints that differ in up to 3 bits meet in a pigeonhole block and are linked there. But texts at that
+similarity differ in some ten of 64 bits, too many for such blocks: any choice of blocks that keeps them together makes thousands of
+keys a text, or keys of a few bits. So the pairs that are left to find meet under keys of MinHash values of the same
+shingles: a pair of similarity 4/5 shares one of BANDS keys with probability 0.99995, a closer one more often. What meets in
+a key is verified by Hamming distance of the SimHash fingerprints and by size (over four standard deviations below the similarity). The links of
+all rounds are verified on the shingles themselves, so no other texts are linked.
+
+No key makes all pairs of its texts, and none is gathered in one task. The first round on MinHash keys compares the texts of a key with one of them,
 drawn by a hash, in a few bands; links found join texts to components, so a large group of near copies costs a few pairs a
 text. Later rounds look only at keys that hold texts of several components. There, up to LARGE texts are compared pair by pair, and those of a larger
 key with ROOTS of them, which are drawn.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bytes, columns, dropped, encoded, kept, mixed, pieces
-from .simhash import components
+from .simhash import components, links
 
 WORDS, BANDS, ROWS = 5, 25, 5
 #: Pairs with more different bits have a similarity under 4/5: some ten bits are expected, 28 are over six standard deviations more.
@@ -123,6 +124,16 @@ def _candidates(sketches: DataFrame, bands: int, roots: int, pairwise: int, salt
     return _pairs(found)
 
 
+def _blocked(sketches: DataFrame) -> DataFrame:
+    """(a, b): links that connect all texts whose fingerprints are within SimHash's distance, directly or by a chain; b the lesser."""
+    nodes = kept(sketches.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp"), "near-prints")
+    same = sketches.select(F.col("node").alias("x"), "fp").join(nodes.withColumnRenamed("node", "y"), "fp").filter("x <> y").select("x", "y")
+    near = links(nodes).toDF("x", "y")
+    pairs = _pairs(near.unionByName(same))
+    dropped(sketches.sparkSession, near, nodes)
+    return pairs
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     """(x, y) as a stored table (a, b), b the lesser, each pair once."""
     return kept(found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "near-pairs")
@@ -232,7 +243,8 @@ def groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     made = docs.mapInArrow(_sketched, "node long, n long, fp long, keys array<long>")
     sketches = kept(made.dropDuplicates(["node"]), "near-sketches")
-    owners = _joined_by(None, _checked(_candidates(sketches.withColumn("owner", F.col("node")), FIRST, 1, 0, 0), docs))
+    owners = _joined_by(None, _checked(_blocked(sketches), docs))
+    owners = _joined_by(owners, _checked(_candidates(_owned(sketches, owners), FIRST, 1, 0, 0), docs))
     # a small key's pairs need to be compared only once
     owners = _joined_by(owners, _checked(_candidates(_owned(sketches, owners), BANDS, ROOTS, LARGE, 1), docs))
     rows = _keys(_owned(sketches, owners), BANDS)

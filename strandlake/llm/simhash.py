@@ -18,7 +18,6 @@ in one task, with about 100 bytes of memory for each of its words.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -70,10 +69,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keys(rows: DataFrame, masks: list[int], plan: str) -> DataFrame:
-    """Each row under each mask: (plan, key, node, fp)."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(_signed(m)).cast("long").alias("mask")) for k, m in enumerate(masks)])
-    out = rows.withColumn("_mask", F.explode(pairs))
+def _numbered(masks: list[int]) -> F.Column:
+    return F.array(*[F.struct(F.lit(k).alias("no"), F.lit(_signed(m)).cast("long").alias("mask")) for k, m in enumerate(masks)])
+
+
+def _keys(rows: DataFrame, masks: F.Column, plan: str) -> DataFrame:
+    """Each row under each of its masks: (plan, key, node, fp)."""
+    out = rows.withColumn("_mask", F.explode(masks))
     return out.withColumns({plan: F.col("_mask.no"), f"{plan}_key": F.col("fp").bitwiseAND(F.col("_mask.mask"))}).drop("_mask")
 
 
@@ -131,18 +133,15 @@ def _linked(groups: DataFrame, distance: int) -> DataFrame:
 def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """nodes: (node, fp), each fp once. Links that connect all nodes within `distance`, directly or by a chain."""
     masks = _masks(list(range(BITS)), blocks, blocks - distance)
-    keyed = _keys(nodes, masks, "k")
+    keyed = _keys(nodes, _numbered(masks), "k")
     sizes = keyed.groupBy("k", "k_key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = kept(keyed.join(sizes, ["k", "k_key"]), "simhash-keys")
     small = shared.filter(F.col("size") <= LARGE).groupBy("k", "k_key").agg(F.collect_list(F.struct("node", "fp")).alias("members"))
-    found = [_linked(small, distance)]
-    for k, mask in enumerate(masks):
-        open_bits = [b for b in range(BITS) if not mask >> b & 1]
-        deeper = _keys(shared.filter((F.col("size") > LARGE) & (F.col("k") == k)), _masks(open_bits, blocks, blocks - distance), "m")
-        found.append(deeper.select("k", "k_key", "m", "m_key", "node", "fp"))
-    large = reduce(DataFrame.unionByName, found[1:])
+    # the masks over the bits that a first-level key's mask leaves open
+    deeper = F.array(*[_numbered(_masks([b for b in range(BITS) if not mask >> b & 1], blocks, blocks - distance)) for mask in masks])
+    large = _keys(shared.filter(F.col("size") > LARGE), deeper[F.col("k")], "m")
     large = large.groupBy("k", "k_key", "m", "m_key").agg(F.collect_list(F.struct("node", "fp")).alias("members")).filter(F.size("members") > 1)
-    return found[0].unionByName(_linked(large, distance)).distinct()
+    return _linked(small, distance).unionByName(_linked(large, distance)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

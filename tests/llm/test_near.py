@@ -96,3 +96,16 @@ def test_large_keys_by_brute_force(spark, monkeypatch, large, roots, block):
     assert len(links) > 1000 and 200 < len(set(groups.values())) < 700
     rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
     assert sorted(r.doc_id for r in near.representatives(rows).collect()) == sorted(set(groups.values()))
+
+
+def test_pigeonhole_blocks_link_fingerprints_within_three_bits(spark):
+    """The blocks connect what brute force on the fingerprints connects, equal fingerprints too, whatever the MinHash keys are."""
+    rng = random.Random(6)
+    prints = [rng.getrandbits(63) for _ in range(60)]
+    for _ in range(140):
+        prints.append(rng.choice(prints) ^ sum({1 << rng.randrange(63) for _ in range(rng.randrange(0, 4))}))
+    groups = brute.components(range(200), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    sketches = spark.createDataFrame([(k, fp) for k, fp in enumerate(prints)], "node long, fp long")
+    links = {tuple(r) for r in near._blocked(sketches).collect()}
+    assert all(a > b for a, b in links) and len(set(groups.values())) < 70
+    assert brute.components(range(200), lambda a, b: (a, b) in links or (b, a) in links) == groups
