@@ -7,10 +7,10 @@ shingles: a pair of similarity 4/5 shares one of BANDS keys with probability 0.9
 a key is verified by Hamming distance of the SimHash fingerprints and by size (over four standard deviations below the similarity). The links of
 all rounds are verified on the shingles themselves, so no other texts are linked.
 
-No key makes all pairs of its texts, and none is gathered in one task. The first round on MinHash keys compares the texts of a key with one of them,
-drawn by a hash, in a few bands; links found join texts to components, so a large group of near copies costs a few pairs a
-text. Later rounds look only at keys that hold texts of several components. There, up to LARGE texts are compared pair by pair, and those of a larger
-key with ROOTS of them, which are drawn.
+No key makes all pairs of its texts, and none is gathered in one task. The first round on MinHash keys draws one text of each key by a hash, in a few bands, and compares
+a text with the closest of those that it meets; links found join texts to components, so a large group of near copies costs one pair a
+text. Later rounds look only at keys that hold texts of several components. There, up to LARGE texts are compared pair by pair; of a larger key ROOTS texts are
+drawn, and a text is compared with the closest of all that its larger keys have.
 
 What the texts of such larger keys still may have in common is then found exactly, by their rarest shingles. With shingles in the order of how many of these texts have
 them, two texts at the similarity share one of the first fifth of each, so a text whose first fifth is its own alone is done. The texts that share
@@ -116,7 +116,9 @@ def _candidates(sketches: DataFrame, bands: int, roots: int, pairwise: int, salt
     seen = seen.filter("low < high").select(F.col("key").alias("k"), "size", "roots")
     fits = F.expr(f"size <= {pairwise} OR exists(roots, r -> {_may('r', 'me')})")
     met = rows.join(seen, (F.col("key") == F.col("k")) & fits)
-    found = met.filter(F.col("size") > pairwise).select(F.col("me.node").alias("x"), F.expr(f"explode(transform(filter(roots, r -> {_may('r', 'me')}), r -> r.node))").alias("y"))
+    # one pair a text: of the roots of all its large keys the one with the fewest different bits
+    closest = F.expr(f"array_min(transform(filter(roots, r -> {_may('r', 'me')}), r -> struct(bit_count(r.fp ^ me.fp), r.node)))")
+    found = met.filter(F.col("size") > pairwise).select(F.col("me.node").alias("x"), closest.alias("r")).groupBy("x").agg(F.min("r").alias("r")).select("x", F.col("r.node").alias("y"))
     if pairwise:
         groups = met.filter(F.col("size") <= pairwise).groupBy("key").agg(F.array_sort(F.collect_list("me")).alias("m"))
         later = f"filter(slice(m, i + 2, size(m)), y -> {_may('x', 'y')})"
@@ -200,7 +202,8 @@ def _met(closest: bool):
             for k in range(batch.num_rows):
                 node, owner, fp, n, pos = columns_of(batch.column("x"), k)
                 other, of, bits, m, at = columns_of(batch.column("y"), k)
-                apart = np.bitwise_count(fp[:, None] ^ bits[None, :]).astype(np.int64)
+                # numpy counts the bits of a signed number's absolute value
+                apart = np.bitwise_count((fp[:, None] ^ bits[None, :]).view(np.uint64)).astype(np.int64)
                 size = n[:, None] + m[None, :]
                 may = (owner[:, None] != of[None, :]) & (apart <= DISTANCE)
                 # at the first shingle that both have, no more are shared than what follows it

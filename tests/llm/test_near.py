@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from strandlake.llm import near
@@ -98,6 +99,17 @@ def test_large_keys_by_brute_force(spark, monkeypatch, large, roots, block):
     assert sorted(r.doc_id for r in near.representatives(rows).collect()) == sorted(set(groups.values()))
 
 
+def test_a_large_key_makes_one_pair_a_text(spark):
+    """A hundred texts that share all keys and may all be alike: not every one with every one."""
+    rng = random.Random(5)
+    rows = [(k, 50, rng.getrandbits(8), list(range(near.BANDS)), k) for k in range(100)]
+    sketches = spark.createDataFrame(rows, "node long, n long, fp long, keys array<long>, owner long")
+    pairs = near._candidates(sketches, near.BANDS, near.ROOTS, near.LARGE, 1).collect()
+    assert 50 <= len(pairs) <= 100 and {x for p in pairs for x in p} == set(range(100))
+    bits = {k: fp for k, _, fp, _, _ in rows}
+    assert sum((bits[p.a] ^ bits[p.b]).bit_count() for p in pairs) < 100
+
+
 def test_pigeonhole_blocks_link_fingerprints_within_three_bits(spark):
     """The blocks connect what brute force on the fingerprints connects, equal fingerprints too, whatever the MinHash keys are."""
     rng = random.Random(6)
@@ -109,3 +121,13 @@ def test_pigeonhole_blocks_link_fingerprints_within_three_bits(spark):
     links = {tuple(r) for r in near._blocked(sketches).collect()}
     assert all(a > b for a, b in links) and len(set(groups.values())) < 70
     assert brute.components(range(200), lambda a, b: (a, b) in links or (b, a) in links) == groups
+
+
+def test_blocks_of_texts_that_differ_in_the_sign_bit():
+    """Two texts whose fingerprints differ in the highest bit alone are compared."""
+    kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("node", "owner", "fp", "n", "pos")]))
+    side = lambda node, fp: pa.array([[{"node": node, "owner": node, "fp": fp, "n": 50, "pos": 0}]], kind)
+    batch = pa.record_batch({"x": side(1, 7), "y": side(2, 7 - 2**63)})
+    for closest in (True, False):
+        (found,) = near._met(closest)([batch])
+        assert found.to_pylist() == [{"x": 1, "y": 2}]
