@@ -116,3 +116,22 @@ def test_snapshots(spark, tmp_path):
     (tmp_path / "states" / "00000004").mkdir()
     assert snapshots.SnapshotState(spark, path).last() == 3
     assert add(rows()) == (4, 0, 0, 3, 0, 0) and add(first) == (5, 3, 3, 0, 0, 0)
+
+
+def test_vectors_by_lines(spark, tmp_path):
+    """A document with a vector a line is read by several tasks, and its rows are those of the same document in other layouts."""
+    names = ["plain", 'a "quoted" }, { name', "tab\\t", *[f"v{k}" for k in range(400)]]
+    made = [{"name": n, "contig": "c", "strand": "+-"[k % 2], "exons": [[10 + k, 20 + k], [30 + k, 44 + k]][: 1 + k % 3], "form": {"family": "TF1", "public_id": "x", "full_digest": "y", "canonical_json": "{}"}, "splice_chain": None} for k, n in enumerate(names)]
+    head, rows = '{"assembly_fingerprint": "sha256:a", "vectors": [', [json.dumps(m) for m in made]
+    texts = {"lines": head + "\n" + ",\n".join(rows) + "]}\n", "tail": head + "\n" + ",\n".join(rows) + "\n]}", "two": head + "\n" + rows[0] + ", " + ",\n".join(rows[1:]) + "]}", "indented": json.dumps({"vectors": made, "assembly_fingerprint": "sha256:a"}, indent=2)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = {}
+        for k, text in texts.items():
+            (tmp_path / f"{k}.json").write_text(text)
+            df = vectors.checked(spark, str(tmp_path / f"{k}.json"))
+            got[k] = df.rdd.getNumPartitions(), sorted(tuple(map(str, r)) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got["lines"][1]) == 2 * len(names) and all(x[1] == got["indented"][1] for x in got.values())
+    assert got["lines"][0] > 1 and got["tail"][0] > 1 and got["two"][0] == 1
