@@ -1,13 +1,13 @@
 """SimHash near-dedup at a similarity: texts whose sets of 5-word shingles have a Jaccard similarity of at least 4/5.
 
-The first round is SimHash's own, as in simhash.py: fingerprints that differ in up to 3 bits meet in a pigeonhole block and are linked there. But texts at that
+The first round begins with SimHash's own, as in simhash.py: fingerprints that differ in up to 3 bits meet in a pigeonhole block and are linked there. But texts at that
 similarity differ in some ten of 64 bits, too many for such blocks: any choice of blocks that keeps them together makes thousands of
 keys a text, or keys of a few bits. So the pairs that are left to find meet under keys of MinHash values of the same
 shingles: a pair of similarity 4/5 shares one of BANDS keys with probability 0.99995, a closer one more often. What meets in
 a key is verified by Hamming distance of the SimHash fingerprints and by size (over four standard deviations below the similarity). The links of
 all rounds are verified on the shingles themselves, so no other texts are linked.
 
-No key makes all pairs of its texts, and none is gathered in one task. The first round on MinHash keys draws one text of each key by a hash, in a few bands, and compares
+No key makes all pairs of its texts, and none is gathered in one task. The first round, whose pairs are checked together with those of the blocks, draws one text of each key by a hash, in a few bands, and compares
 a text with the closest of those that it meets; links found join texts to components, so a large group of near copies costs one pair a
 text. Later rounds look only at keys that hold texts of several components. There, up to LARGE texts are compared pair by pair; of a larger key ROOTS texts are
 drawn, and a text is compared with the closest of all that its larger keys have.
@@ -27,12 +27,14 @@ task, with about 150 bytes of memory for each of its words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bytes, columns, dropped, encoded, kept, mixed, pieces
+from .common import Bytes, columns, dropped, encoded, kept, mixed, pieces, released, small_batches
 from .simhash import components, links
 
 WORDS, BANDS, ROWS = 5, 25, 5
@@ -155,7 +157,12 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
-def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _checked(docs: DataFrame, *found: DataFrame) -> DataFrame:
+    """The links among the pairs (a, b) that one or more rounds found; these are deleted."""
+    pairs = found[0]
+    if len(found) > 1:
+        pairs = kept(reduce(lambda a, b: a.unionByName(b), found).distinct(), "near-pairs")
+        dropped(docs.sparkSession, *found)
     sets = _shingles(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs)
     found = _alike(pairs, sets)
     dropped(pairs.sparkSession, sets)
@@ -164,6 +171,9 @@ def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _joined_by(owners: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, owner) of the components that links make together with those so far; both are deleted."""
+    if owners is not None and not links.head(1):
+        dropped(links.sparkSession, links)
+        return owners
     # the links so far and the components they make are the same thing
     edges = links if owners is None else owners.toDF("a", "b").unionByName(links)
     out = components(edges).toDF("node", "owner")
@@ -244,22 +254,26 @@ def _across(firsts: DataFrame, owners: DataFrame, closest: bool) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """docs: (node, text). (node, group) of the nodes that have a near copy, but for each group's least node, which names it."""
     spark = docs.sparkSession
-    made = docs.mapInArrow(_sketched, "node long, n long, fp long, keys array<long>")
-    sketches = kept(made.dropDuplicates(["node"]), "near-sketches")
-    owners = _joined_by(None, _checked(_blocked(sketches), docs))
-    owners = _joined_by(owners, _checked(_candidates(_owned(sketches, owners), FIRST, 1, 0, 0), docs))
-    # a small key's pairs need to be compared only once
-    owners = _joined_by(owners, _checked(_candidates(_owned(sketches, owners), BANDS, ROOTS, LARGE, 1), docs))
-    rows = _keys(_owned(sketches, owners), BANDS)
-    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("me.owner").alias("low"), F.max("me.owner").alias("high")).filter(f"size > {LARGE} AND low < high")
-    hard = kept(rows.join(large.select("key"), "key").select("me.node").distinct(), "near-hard")
-    if hard.head(1):
-        sets = _shingles(hard, docs)
-        firsts = kept(_first_fifths(sets, sketches), "near-firsts")
-        for closest in (True, False):
-            owners = _joined_by(owners, _alike(_across(firsts, owners, closest), sets))
-        dropped(spark, firsts, sets)
-    dropped(spark, hard, sketches)
+    with small_batches(spark):  # rows of blocks and of shingles are tens of KB long
+        made = docs.mapInArrow(_sketched, "node long, n long, fp long, keys array<long>")
+        sketches = kept(made.dropDuplicates(["node"]), "near-sketches")
+        alone = sketches.withColumn("owner", F.col("node"))
+        owners = _joined_by(None, _checked(docs, _blocked(sketches), _candidates(alone, FIRST, 1, 0, 0)))
+        released(spark)  # of each round's plans the executors hold broadcasts, too, until the driver lets go of them
+        # a small key's pairs need to be compared only once
+        owners = _joined_by(owners, _checked(docs, _candidates(_owned(sketches, owners), BANDS, ROOTS, LARGE, 1)))
+        released(spark)
+        rows = _keys(_owned(sketches, owners), BANDS)
+        large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("me.owner").alias("low"), F.max("me.owner").alias("high")).filter(f"size > {LARGE} AND low < high")
+        hard = kept(rows.join(large.select("key"), "key").select("me.node").distinct(), "near-hard")
+        if hard.head(1):
+            sets = _shingles(hard, docs)
+            firsts = kept(_first_fifths(sets, sketches), "near-firsts")
+            for closest in (True, False):
+                owners = _joined_by(owners, _alike(_across(firsts, owners, closest), sets))
+            dropped(spark, firsts, sets)
+            released(spark)
+        dropped(spark, hard, sketches)
     return owners.toDF("node", "group")
 
 

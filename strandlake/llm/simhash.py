@@ -144,15 +144,21 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> D
     return _linked(small, distance).unionByName(_linked(large, distance)).distinct()
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether each node a of the links (a, b), b the lesser, has one link and is no other's b: then b is the least node that a reaches."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = down").head(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Links (a, b) to (a, b) with b the least node that a reaches; the least nodes themselves are left out.
 
-    Each step halves the depth at least in practice; a step is three shuffles, written to the shared folder.
+    Each step halves the depth at least in practice; a step is three shuffles, written to the shared folder. No step follows once all is told
+    by one link a node, as executors and the driver keep compiled code and buffers of every plan.
     Aggregates come before joins, and a node of very many links is dealt out by skew joins.
     """
     now = kept(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    while True:
+    while not _starred(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -161,12 +167,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         after = kept(small, "links")
-        mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         dropped(now.sparkSession, now)
         now = after
-        if mark == seen:
-            return now
-        seen = mark
+    return now
 
 
 def clustered(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:

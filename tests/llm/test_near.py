@@ -3,7 +3,8 @@ import random
 import pyarrow as pa
 import pytest
 
-from strandlake.llm import near
+from strandlake.llm import near, simhash
+from strandlake.llm.common import kept
 
 from . import brute
 
@@ -131,3 +132,26 @@ def test_blocks_of_texts_that_differ_in_the_sign_bit():
     for closest in (True, False):
         (found,) = near._met(closest)([batch])
         assert found.to_pylist() == [{"x": 1, "y": 2}]
+
+
+def test_components_end_with_the_step_that_settles_them(spark, monkeypatch):
+    """Links that are stars already are stored once and not stepped through; a chain and a second link of a node are."""
+    written = []
+    monkeypatch.setattr(simhash, "kept", lambda df, name: written.append(name) or kept(df, name))
+    stars = [(2, 1), (3, 1), (9, 1), (8, 5)]
+    assert sorted(map(tuple, simhash.components(spark.createDataFrame(stars, "a long, b long")).collect())) == stars[:2] + [(8, 5), (9, 1)]
+    assert len(written) == 1
+    for links in ([(2, 1), (3, 2), (4, 3), (7, 6)], [(3, 1), (3, 2), (5, 2), (7, 6)]):
+        groups = brute.components({x for link in links for x in link}, lambda a, b: (a, b) in links or (b, a) in links)
+        found = {r.a: r.b for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert found == {a: b for a, b in groups.items() if a != b}
+    assert not simhash.components(spark.createDataFrame([(4, 4)], "a long, b long")).head(1)
+
+
+def test_batches_of_the_rounds_are_small(spark, monkeypatch):
+    """Rows of shingles and of blocks are tens of KB long; what goes to Python at once is bounded by bytes, and the session's bound is back afterwards."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(near, "kept", lambda df, at: seen.append(spark.conf.get(name)) or kept(df, at))
+    near.groups(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "node long, text string"))
+    assert seen and set(seen) == {"4m"} and spark.conf.get(name) == before
