@@ -186,3 +186,24 @@ def test_folder_of_parts_counts_as_one_file(spark, tmp_path):
     f = files.Files(spark, path)
     assert f.size(path) == sum(p.stat().st_size for p in parts) and f.sha256(path) == "sha256:" + hashlib.sha256(b"".join(p.read_bytes() for p in parts)).hexdigest()
     assert annotation.transcripts(spark, path).count() == 50
+
+
+def test_pieces_that_the_reader_takes_at_once_fit_a_task(spark, tmp_path, monkeypatch):
+    """A contig on one line is digested from rows so short that a whole batch of Spark's reader is 32 MB at most."""
+    import hashlib
+
+    from strandlake.sources import annotation
+
+    bases, longest, stored = "ACGTTGCA" * 20_000, [], annotation.stored
+
+    def seen(df, name):
+        out = stored(df, name)
+        if name == "contig-pieces":
+            longest.append(max(len(r.bases) for r in out.filter("bases IS NOT NULL").collect()))
+        return out
+
+    monkeypatch.setattr(annotation, "stored", seen)
+    (tmp_path / "r.fa").write_text(f">a\n{bases}\n>b\nAC\n")
+    found = {r.name: (r.length, r.sequence_digest) for r in annotation.contigs(spark, str(tmp_path / "r.fa")).collect()}
+    assert found == {n: (len(s), hashlib.sha256(s.encode()).hexdigest()) for n, s in (("a", bases), ("b", "AC"))}
+    assert longest[0] * int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize", "4096")) <= 32 << 20
