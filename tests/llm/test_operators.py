@@ -248,6 +248,19 @@ def test_suffix_edges(spark):
     assert {i: tuple(r)[1:] for i, r in by_id(suffix.report(df)).items()} == brute.suffix(list(enumerate(made)))
 
 
+def test_suffix_borders_are_few(spark):
+    """Words of 30 bytes in other surroundings: a 50-byte string is judged on its own only if 47 bytes around it may be in two documents."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+    words = [noise(30) for _ in range(400)]
+    made = ["".join(rng.choice(words) + noise(20) for _ in range(20)) for _ in range(60)] + [noise(70) + words[0] + words[1] + noise(70) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(made)), "row long, text string").withColumn("id", F.col("row"))
+    judged = suffix._judged(df, spark.sparkContext.broadcast(suffix._filter(suffix._first_names(df))))
+    found = suffix._border_strings(df, judged).groupBy("row").count().collect()
+    assert {60, 61, 62} <= {r.row for r in found} and sum(r["count"] for r in found) < 1500  # 13,500 strings have one of these words' anchors
+    assert {i: tuple(r)[1:] for i, r in by_id(suffix.report(df.select(F.col("id").alias("doc_id"), "text"))).items()} == brute.suffix(list(enumerate(made)))
+
+
 def test_bpe(docs, table):
     got = by_id(bpe.report(docs, VOCABULARY))
     t = Tokenizer.from_file(VOCABULARY)
