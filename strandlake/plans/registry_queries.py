@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import registry
 from strandlake.operators.commands import Commands
+from strandlake.sinks import files
 
 from . import driver_tables as t
 from .catalog_queries import query
-from .file_queries import folder, gtf_file, written
+from .file_queries import folder, gtf_file
 
 #: Bases of a line of the genome's file.
 LINE = 4096
@@ -25,7 +26,8 @@ def _registry(spark, d) -> tuple[Commands, dict, str]:
         # coordinates grow with the orders, so a contig is longer than a row can be
         rows = ends.select("*", F.explode(F.sequence(F.lit(-1).cast("long"), F.floor((F.col("length") - 1) / LINE))).alias("j"))
         bases = F.repeat(F.lit("A"), F.least(F.lit(LINE), F.col("length") - F.col("j") * LINE).cast("int"))
-        fasta = written(rows, ["contig", "j"], "genome.fa.gz", F.when(F.col("j") < 0, F.concat(F.lit(">"), "contig")).otherwise(bases))
+        fasta = f"{folder(spark)}/genome.fa.gz"
+        files.write_lines(rows, ["contig", "j"], fasta, line=F.when(F.col("j") < 0, F.concat(F.lit(">"), "contig")).otherwise(bases))
         seen = gtf_file(t.observed(spark, d), "observed.gtf")
         c.initialize(fasta, "driver", gtf_file(t.reference(spark, d), "reference.gtf"), "v1")
         _built[key] = c, c.import_file(seen, "s", "t", "v1", splice=100, end=400), seen

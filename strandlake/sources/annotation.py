@@ -238,10 +238,23 @@ def _digested(batches):
         yield table([(name, headers, length, digest.hexdigest(), plain)])
 
 
+def _digested_lines(batches):
+    """Lines of a file that one task reads from its first to its last, to one row a sequence."""
+    return _digested(pa.RecordBatch.from_arrays([b.column(c) for c in ("own", "header", "bases")], names=["name", "header", "bases"]) for b in _pieces(batches))
+
+
 def contigs(spark: SparkSession, path: str) -> DataFrame:
-    """name, length and sequence_digest of each sequence. A line must fit a task, a sequence need not: its pieces pass through one task in their order."""
+    """name, length and sequence_digest of each sequence. A line must fit a task, a sequence need not: its pieces pass through one task in their order.
+
+    A gzipped file is read by one task, which takes the digests as it reads; of other files and of folders the pieces are sorted first.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     pieces = lines.filter("trim(value) <> ''").mapInArrow(_pieces, "file string, block long, place long, part int, own string, header boolean, bases binary")
+    digests = "name string, headers long, length long, sequence_digest string, ascii boolean"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if path.endswith(".gz") and hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hpath).isFile():
+        with small_batches(spark):
+            return _sound(stored(lines.filter("trim(value) <> ''").mapInArrow(_digested_lines, digests), "contigs"))
     with small_batches(spark):
         pieces = stored(pieces, "contig-pieces")
         # what a block gets from those before it: one row a block
@@ -250,15 +263,20 @@ def contigs(spark: SparkSession, path: str) -> DataFrame:
         named = pieces.join(blocks.select("file", "block", carried.alias("carried")), ["file", "block"]).withColumn("name", F.coalesce("own", "carried"))
         order = ["name", "file", "block", "place", "part"]
         dealt = named.select(*order, "header", "bases").repartition("name").sortWithinPartitions(*order)
-        rows = stored(dealt.mapInArrow(_digested, "name string, headers long, length long, sequence_digest string, ascii boolean"), "contigs")
+        rows = stored(dealt.mapInArrow(_digested, digests), "contigs")
     released(spark, pieces)
+    return _sound(rows)
+
+
+def _sound(rows: DataFrame) -> DataFrame:
+    """The sequences of _digested(); raises if they are not what a FASTA file must hold."""
     if not rows.head(1):
         raise AnnotationError("no sequences")
     if rows.filter("name IS NULL").head(1):
         raise AnnotationError("a sequence stands before any header")
     if rows.filter("NOT ascii").head(1):
         raise AnnotationError("a sequence is not ASCII")
-    if rows.filter("name = '' OR length = 0 OR headers > 1").head(1):
+    if rows.filter("name = '' OR length = 0 OR headers > 1").head(1) or rows.groupBy("name").count().filter("count > 1").head(1):
         raise AnnotationError("a sequence has no name, no bases or a name that repeats")
     return rows.select("name", "length", "sequence_digest")
 

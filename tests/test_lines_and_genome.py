@@ -207,3 +207,28 @@ def test_pieces_that_the_reader_takes_at_once_fit_a_task(spark, tmp_path, monkey
     found = {r.name: (r.length, r.sequence_digest) for r in annotation.contigs(spark, str(tmp_path / "r.fa")).collect()}
     assert found == {n: (len(s), hashlib.sha256(s.encode()).hexdigest()) for n, s in (("a", bases), ("b", "AC"))}
     assert longest[0] * int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize", "4096")) <= 32 << 20
+
+
+def test_gzipped_contigs_are_digested_as_they_are_read(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(annotation, "stored", lambda df, name, f=annotation.stored: (kept.append(name), f(df, name))[1])
+    rng = random.Random(4)
+    made = {f"c{k}": "".join(rng.choice("ACGTacgt") for _ in range(n)) for k, n in enumerate((1, 80, 30_000, 9000, 8192))}
+
+    def told(name, text):
+        path = tmp_path / name
+        path.write_bytes(gzip.compress(text.encode()[: len(text) // 2]) + gzip.compress(text.encode()[len(text) // 2 :]))  # two members
+        return annotation.contigs(spark, str(path))
+
+    lines = lambda s: "\n".join(s[k : k + 70] for k in range(0, len(s), 70))
+    got = told("a.fa.gz", "\n".join(f">{n} of a test\n{lines(s)}\n" for n, s in made.items()))
+    assert {tuple(r) for r in got.collect()} == {(n, len(s), hashlib.sha256(s.upper().encode()).hexdigest()) for n, s in made.items()}
+    assert kept == ["contigs"]  # no pieces of sequences
+    for k, (text, problem) in enumerate([("A\n>a\nA\n", "before any header"), (">a\nA\n>b\nA\n>a\nA\n", "repeats"), (">a\nA\n>a\nA\n", "repeats"), (">a\n>b\nA\n", "no bases"), ("\n", "no sequences")]):
+        with pytest.raises(annotation.AnnotationError, match=problem):
+            told(f"{k}.fa.gz", text)
+
+
+def test_lines_made_after_the_sort(spark, tmp_path):
+    files.write_lines(spark.range(300), [F.col("id").desc()], str(tmp_path / "x.txt"), line=F.repeat(F.lit("a"), F.col("id").cast("int")))
+    assert (tmp_path / "x.txt").read_text().split("\n") == ["a" * k for k in range(299, -1, -1)] + [""]
