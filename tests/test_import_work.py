@@ -17,3 +17,11 @@ def test_imports_and_clusters(spark, monkeypatch):
     assert r.observations == r.clustered > 0 and r.strays == 0
     assert "cluster-groups" in names
     assert len(columns) == 1 and not columns[0] & {"exons", "attributes", "form", "splice_chain"}
+
+
+def test_resumed_batch_verifies_its_files_once(spark, monkeypatch):
+    asked, lost = [], commands.Commands.lost_artifacts
+    monkeypatch.setattr(commands.Commands, "lost_artifacts", lambda self: asked.append(1) or lost(self))
+    rows = catalog_queries.QUERIES["resumed_batch"](spark, DATA).collect()
+    assert len(rows) > 1 and all(r.lost == 0 for r in rows)
+    assert len(asked) == 1
